@@ -24,7 +24,7 @@ from quire.llm import scratch
 # What the entities look like.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 SECRET = r"(?i:\b(?:api[_-]?key|access[_-]?key|token|secret|passw(?:or)?d|pwd))\s{0,3}[:=]\s{0,3}[\"']?[^\s\"']{6,}"
-KEY = r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
+KEY = r"(?<![A-Za-z0-9])(?:(?i:AKIA[A-Z0-9]{16})|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
 CARD = r"(?<![\d+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -71,12 +71,12 @@ def _byte(digest: Column, i: Column) -> Column:
 
 def _shaped(s: Column, digest: Column) -> Column:
     """s with digits for digits and letters for letters (hex letters in a hex text); digest has a byte for each character."""
-    hexed = s.rlike(r"^[^A-Za-z]*(?:[a-f0-9]+[^A-Za-z0-9]*)+$")
+    hexed = ~s.rlike("[g-zG-Z]")
 
     def one(c: Column, i: Column) -> Column:
         b = _byte(digest, i)
         letter = lambda first, n: F.char(F.lit(first) + b % n)
-        return F.when(c.rlike("^[0-9]$"), (b % 10).cast("string")).when(c.rlike("^[a-z]$"), letter(97, F.when(hexed, 6).otherwise(26))).when(c.rlike("^[A-Z]$"), letter(65, 26)).otherwise(c)
+        return F.when(c.rlike("^[0-9]$"), (b % 10).cast("string")).when(c.rlike("^[a-z]$"), letter(97, F.when(hexed, 6).otherwise(26))).when(c.rlike("^[A-Z]$"), letter(65, F.when(hexed, 6).otherwise(26))).otherwise(c)
 
     return F.array_join(F.transform(F.split(s, ""), one), "")
 
@@ -108,7 +108,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     email = F.concat(_shaped(F.concat(name, F.lit("@"), sub), g), end)
     label = F.regexp_extract(e, r"^([A-Za-z_-]+\s*[:=]\s*[\"']?)", 1)
     secret = F.concat(label, _shaped(F.substring(e, F.length(label) + 1, F.length(e)), g))
-    prefix = F.regexp_extract(e, "^(AKIA|gh[pousr]_|sk-)", 1)
+    prefix = F.regexp_extract(e, "^((?i:AKIA)|gh[pousr]_|sk-)", 1)
     own = F.concat(prefix, _shaped(F.substring(e, F.length(prefix) + 1, F.length(e)), g))
     ip = F.concat_ws(".", *[(_byte(g, F.lit(k)) % n + 1).cast("string") for k, n in enumerate((126, 254, 254, 254))])
     country = F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .(-])|\+\d)", 1)
