@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import flac, licenses, mixing, neardup, packing, pii, quality, tokens
+from quire.llm import flac, licenses, mixing, neardup, packing, pii, quality, suffix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +69,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     shares = [F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
     return made.select(F.col("given.doc_id").alias("doc_id"), "n_tokens", *shares, "rate", "copies")
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix.remove_repeated(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
