@@ -32,7 +32,8 @@ from quire.llm.words import Texts, pieces, sums
 BUCKETS = 1 << 13
 MAX_LABELLED = 50_000
 FIXED = 1 << 24
-STEPS = 16
+STEPS = 24
+RIDGE = 0.02
 MAX_RATE = 8.0
 # The domains of the labelled table and the share of the mix each is to have.
 DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
@@ -135,18 +136,22 @@ def rates(members: DataFrame, weights: list[float], total: float | None = None,
     """members with column rate in [min_rate, max_rate], and the totals reached.
 
     total: tokens of the mix, those of members unless given. A target below what min_rate alone gives is raised to that.
-    Each step scales the gradient by the Gram matrix of the documents whose rates are free to move (with a small ridge), so
-    that a handful of steps suffices, and projects the rates back onto their bounds.
+    Each step takes the gradient a little ahead of the rates, scales it by the Gram matrix of the domains (with a ridge),
+    under which a full step is never too long, and projects the rates back onto their bounds.
     """
     k = len(weights)
     start = min(max(1.0, min_rate), max_rate)
     moves: list[np.ndarray] = []
 
-    def held(p: np.ndarray) -> np.ndarray:
-        r = np.full(len(p), start)
+    def held(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rates after the steps so far, and the point, ahead of them, at which the next gradient is taken."""
+        r = ahead = np.full(len(p), start)
+        t = 1.0
         for g in moves:
-            r = np.clip(r - (p * g).sum(1), min_rate, max_rate)
-        return r
+            before, r = r, np.clip(ahead - (p * g).sum(1), min_rate, max_rate)
+            last, t = t, (1 + (1 + 4 * t * t) ** 0.5) / 2
+            ahead = r + (last - 1) / t * (r - before)
+        return r, ahead
 
     def rows(batch: pa.RecordBatch) -> np.ndarray:
         return batch.column("posterior").flatten().to_numpy().reshape(-1, k)
@@ -155,14 +160,13 @@ def rates(members: DataFrame, weights: list[float], total: float | None = None,
         got = np.zeros(2 * k + k * k)
         for batch in batches:
             p, n = rows(batch), batch.column("n_tokens").to_numpy().astype(float)[:, None]
-            r = held(p)[:, None]
-            free = np.where((r > min_rate) & (r < max_rate), n, n * 0.001)
-            got += np.concatenate([(n * p * r).sum(0), (n * p).sum(0), ((free * p).T @ p).ravel()])
+            r = held(p)[1][:, None]
+            got += np.concatenate([(n * p * r).sum(0), (n * p).sum(0), ((n * p).T @ p).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in got], names=[f"s{i}" for i in range(len(got))])
 
     def rated(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(held(rows(batch)), 6))], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(held(rows(batch))[0], 6))], names=[*batch.schema.names, "rate"])
 
     names = [f"s{i}" for i in range(2 * k + k * k)]
     goal, last, reached = None, None, np.zeros(k)
@@ -178,7 +182,7 @@ def rates(members: DataFrame, weights: list[float], total: float | None = None,
         if not plain.sum() or size < tolerance or last is not None and abs(last - size) < tolerance:
             break
         last = size
-        moves = [*moves, np.linalg.solve(gram + np.eye(k) * (1e-4 * np.trace(gram) / k + 1e-9), left)]
+        moves = [*moves, np.linalg.solve(gram + np.eye(k) * (RIDGE * np.trace(gram) / k + 1e-9), left)]
     schema = StructType([*members.schema.fields, *StructType.fromDDL("rate double").fields])
     return members.mapInArrow(rated, schema), reached.tolist()
 
@@ -189,10 +193,10 @@ def copies(seed: list[str]):
     return F.floor(F.col("rate") + u).cast("long")
 
 
-def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", weights: dict[str, float] | None = None, total_factor: float = 1.0, min_rate: float = 0.0, keep: list[str] | None = None, **model) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", weights: dict[str, float] | None = None, total_factor: float = 1.0, min_rate: float = 0.0, max_rate: float = MAX_RATE, keep: list[str] | None = None, **model) -> DataFrame:
     """given, n_tokens, posterior, rate, copies of every document."""
     weights = weights or WEIGHTS
     members = scratch.write(posteriors(docs, labels, id_col, text, keep=keep, **model), "posteriors")
     tokens = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    out, _ = rates(members, list(weights.values()), float(tokens) * total_factor, min_rate)
+    out, _ = rates(members, list(weights.values()), float(tokens) * total_factor, min_rate, max_rate)
     return out.withColumn("copies", copies([f"given.`{id_col}`"]))
