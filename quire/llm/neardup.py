@@ -6,12 +6,14 @@
    set sizes and by the similarity that the union of two sketches estimates, then verified by exact Jaccard.
 3. Lists whose members are now in one component are done. The others' members are looked at again with all their retained
    values: lists of up to `short` members give all their pairs, a pair's shared values are counted, and pairs with too few
-   are dropped; longer lists link their members to a pseudo-random member, another one in each list.
+   are dropped; longer lists link their members to the member that shares most with all others (where copies with changes of
+   their own come from one text, that text), and where components remain apart, to a pseudo-random member
+   in each list, a quarter of the lists at a time until a quarter links nothing.
 4. Components by repeated minimum labels and pointer jumping.
 
 What remains unseen: a pair at the threshold with no retained value in common (0.2 ^ 16 for the first values), or whose
 estimate is off by more than five standard deviations; and in lists longer than `short`, a pair whose every shared retained
-value is in such a list and neither of which reaches the other's component by any of the lists' random members.
+value is in such a list and neither of which reaches the other's component by any of the members tried.
 
 Scale: all joins are on hashes of values or classes; sketches are a few hundred bytes a class; full sets are made only for
 classes in a candidate pair, by one more pass over their texts. Nothing of the corpus is collected.
@@ -36,6 +38,7 @@ RETAINED = 64
 FIRST = 16
 SHORT = 32
 SLACK = 5.0
+THIN = 4
 
 
 def shingles(t: Texts, n: int) -> list[np.ndarray]:
@@ -169,38 +172,70 @@ class Finder:
         pairs = lists.where((F.col("node") != F.col("head.node")) & self.sizes_fit("n", "head.n")).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
         return lists, self.verified(pairs)
 
-    def second_round(self, lists: DataFrame, state: DataFrame) -> DataFrame:
-        """Candidate pairs of lists that hold more than one component."""
+    def opened(self, lists: DataFrame, state: DataFrame) -> DataFrame:
+        """Written rows (value, node, n, size, popular) of all lists of the classes that some list of several components holds.
+
+        popular is the member that shares most: of largest sum of its lists' sizes. Of copies with changes of their own it is
+        the one they come from, or the one nearest to that.
+        """
         labelled = lists.select("value", "node").join(state, "node", "left").select("value", "node", F.coalesce("label", "node").alias("label"))
         mixed = labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("value")
         open_nodes = lists.select("value", "node").join(mixed, "value", "left_semi").select("node").distinct()
-        values = self.nodes.join(open_nodes, "node", "left_semi").join(state, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("low").alias("value"))
-        values = scratch.write(values, "values")
-        heads = values.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("value", "node").alias("h"), "node", "n", "label")).alias("head")).where("size > 1")
-        held = scratch.write(values.join(heads, "value").select("value", "node", "n", "label", "size", "head", (F.col("x") != F.col("y")).alias("mixed")), "open")
-        crowded = held.where(F.col("size") > self.short)
-        stars = crowded.where(F.col("mixed") & (F.col("label") != F.col("head.label")) & self.sizes_fit("n", "head.n")).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
-        hot = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
-        few = held.where((F.col("size") <= self.short) & F.col("mixed"))
+        values = scratch.write(self.nodes.join(open_nodes, "node", "left_semi").select("node", "n", F.explode("low").alias("value")), "values")
+        sizes = values.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sized = scratch.write(values.join(sizes, "value"), "sized")
+        scratch.drop(values)
+        shares = sized.groupBy("node").agg(F.sum("size").alias("shares"))
+        order = F.struct("shares", F.xxhash64("value", "node").alias("h"), "node", "n")
+        popular = sized.join(shares, "node").groupBy("value").agg(F.max(order).alias("popular"))
+        return scratch.write(sized.join(popular, "value").select("value", "node", "n", "size", F.col("popular.node").alias("popular"), F.col("popular.n").alias("n_popular")), "open")
+
+    def _labelled(self, rows: DataFrame, state: DataFrame, node: str, name: str) -> DataFrame:
+        at = state.select(F.col("node").alias("_at"), F.col("label").alias("_label"))
+        return rows.join(at, F.col(node) == F.col("_at"), "left").withColumn(name, F.coalesce("_label", node)).drop("_at", "_label")
+
+    def _star(self, rows: DataFrame, state: DataFrame, head: str, n_head: str) -> DataFrame:
+        """Pairs of a list's head and its members of other components."""
+        pairs = rows.where((F.col("node") != F.col(head)) & self.sizes_fit("n", n_head)).select(F.least("node", head).alias("a"), F.greatest("node", head).alias("b")).distinct()
+        return self._labelled(self._labelled(pairs, state, "a", "l_a"), state, "b", "l_b").where("l_a != l_b").select("a", "b")
+
+    def second_round(self, held: DataFrame, state: DataFrame) -> DataFrame:
+        """Candidate pairs: all of short lists that share enough, and those with the popular member of longer ones."""
+        few = self._labelled(held.where(F.col("size") <= self.short), state, "node", "label")
+        hot = held.where(F.col("size") > self.short).groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
         left = few.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
         right = few.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
         met = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & self.sizes_fit("n_a", "n_b"))
         counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-        # shared values in crowded lists were not counted: at most as many as the lesser of both has
+        # shared values in longer lists were not counted: at most as many as the lesser of both has
         counted = counted.join(hot.select(F.col("node").alias("a"), F.col("hot").alias("hot_a")), "a", "left").join(hot.select(F.col("node").alias("b"), F.col("hot").alias("hot_b")), "b", "left")
         unseen = F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
         need = F.least(F.lit(self.retained), F.greatest("n_a", "n_b")) * self.least
         enough = counted.where(F.col("shared") + unseen >= F.floor(need)).select("a", "b")
+        stars = self._star(held.where(F.col("size") > self.short), state, "popular", "n_popular")
         return enough.union(stars).distinct()
 
+    def third_round(self, held: DataFrame, state: DataFrame, part: int) -> DataFrame:
+        """Candidate pairs of one part in THIN of the longer lists that still hold several components: with a pseudo-random member."""
+        rows = self._labelled(held.where((F.col("size") > self.short) & (F.pmod(F.xxhash64("value"), F.lit(THIN)) == part)), state, "node", "label")
+        heads = rows.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("value", "node").alias("h"), "node", "n")).alias("head")).where("x != y")
+        found = rows.join(heads.select("value", F.col("head.node").alias("head"), F.col("head.n").alias("n_head")), "value")
+        return self._star(found, state, "head", "n_head")
+
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, retained: int = RETAINED, first: int = FIRST, short: int = SHORT) -> DataFrame:
     """The id, n_shingles, component_id (smallest id of the component) and kept of each row."""
     finder = Finder(docs, id_col, text, n, similarity, retained, first, short)
     lists, links = finder.first_round()
     state = components(links)
-    more = finder.verified(finder.second_round(lists, state))
-    state = components(links.union(more))
+    held = finder.opened(lists, state)
+    for part in range(-1, THIN):
+        more = finder.verified(finder.second_round(held, state) if part < 0 else finder.third_round(held, state, part))
+        if more.limit(1).count():
+            links = links.union(more)
+            state = components(links)
+        elif part >= 0:  # a part of the lists that links nothing ends the search
+            break
     labelled = finder.nodes.select("node", "given").join(state, "node", "left").select("node", "given", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("given").alias("component_id"))
     of_node = labelled.join(smallest, "label").select(F.col("node").alias("key"), "component_id")
