@@ -100,6 +100,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
     return np.array(rows, np.int64).reshape(-1, 6), made
 
 
+class Known(dict):
+    """Ids of words; what has no room in it is in late, for one batch; a word with a closing mark is found by the word."""
+
+    late: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.late.get(key)
+        return self[key[:-1]] + self[key[-1]] if made is None else made
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, for a vocabulary that drops white space and lowers case before it splits.
 
@@ -111,7 +121,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
+        for m in ".,":  # after a letter such a mark is a pre-token of its own
+            self.known[m] = np.array(self.library.encode(m, add_special_tokens=False).ids, np.uint32).tobytes()
         self.memo = memo
         ends = np.zeros(self.library.get_vocab_size(), bool)
         for s, k in self.library.get_vocab().items():
@@ -121,11 +133,12 @@ class Encoder:
         # what lower() treats by its neighbours, or what could make one pre-token of two
         self.odd = regex.compile("|".join(["[İΣ\x1c-\x1f]", *map(regex.escape, self.special)]))
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        made: dict[str, bytes] = {}
-        closed = [w for w in words if w[-1] in ".," and w[-2:-1].isalpha()]
-        stems = {w[:-1] for w in closed} - self.known.keys()
-        words = list((set(words) - set(closed)) | stems)
+    def learn(self, words: list[str]) -> None:
+        """Puts the ids of words where known finds them."""
+        known = self.known
+        made = known.late = {}
+        stems = {w[:-1] if w[-1] in ".," and w[-2:-1].isalpha() else w for w in words}
+        words = [w for w in stems if w not in known]
         plain = [w for w in words if w.isalpha() and w.isascii()]
         for a in range(0, len(plain), 4000):
             some = plain[a : a + 4000]
@@ -139,12 +152,8 @@ class Encoder:
         other = [w for w in words if not (w.isalpha() and w.isascii())]
         for w, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
             made[w] = np.array(e.ids, np.uint32).tobytes()
-        marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, np.uint32).tobytes() for m in ".,"}
-        stem = lambda w: made[w] if w in made else self.known[w]
-        late = {w: stem(w[:-1]) + marks[w[-1]] for w in closed}
-        if len(self.known) + len(made) <= self.memo:
-            self.known.update(made)
-        return made | late
+        if len(known) + len(made) <= self.memo:
+            known.update(made)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split, need = [], set()
@@ -155,20 +164,9 @@ class Encoder:
             words = s.lower().split()
             need.update(words)
             split.append(words)
-        need.difference_update(self.known)
-        new = Known(self.known, self.learn(list(need)) if need else {})
-        return [x if isinstance(x, np.ndarray) else np.frombuffer(b"".join(map(new.__getitem__, x)), np.uint32) for x in split]
-
-
-class Known(dict):
-    """What a batch has learned, then what was known before."""
-
-    def __init__(self, known: dict[str, bytes], late: dict[str, bytes]):
-        super().__init__(late)
-        self.known = known
-
-    def __missing__(self, key: str) -> bytes:
-        return self.known[key]
+        known = self.known
+        self.learn([w for w in need if w not in known])
+        return [x if isinstance(x, np.ndarray) else np.frombuffer(b"".join(map(known.__getitem__, x)), np.uint32) for x in split]
 
 
 _HELD: dict[tuple, Encoder] = {}
