@@ -171,7 +171,7 @@ class Steps:
         made = memo.late = {}
         last, count, before = [0], [0], b""
         ends = {c for c in chunks if c[-1] in ".," and c[-2:-1].isalpha()}
-        for c in sorted((chunks - ends) | ({c[:-1] for c in ends} - memo.keys())):
+        for c in sorted((chunks - ends) | {c[:-1] for c in ends if c[:-1] not in memo}):
             w = lead + c
             rest = ()
             if not c.isalpha():
@@ -207,8 +207,8 @@ class Steps:
                 first.add(x[0])
                 rest.update(x[1:])
             split.append(lines)
-        self.learn(first - self.plain.keys(), "", self.plain)
-        self.learn(rest - self.spaced.keys(), " ", self.spaced)
+        for memo, chunks, lead in ((self.plain, first, ""), (self.spaced, rest, " ")):
+            self.learn({c for c in chunks if c not in memo}, lead, memo)
         plain, spaced = self.plain, self.spaced.__getitem__
         return [x if isinstance(x, bytes) else b"\x01".join([plain[y[0]] + b"".join(map(spaced, y[1:])) for y in x]) for x in split]
 
