@@ -5,15 +5,17 @@
 2. Inverted lists: class by retained value. Each list links its members to its first member; these pairs are filtered by
    set sizes and by the similarity that the union of two sketches estimates, then verified by exact Jaccard.
 3. Lists whose members are now in one component are done. The others' members are looked at again with all their retained
-   values: lists of up to `short` members give all their pairs, a pair's shared values are counted, and pairs with too few
-   are dropped; longer lists link their members to the member that shares most with all others (where copies with changes of
-   their own come from one text, that text), and where components remain apart, to a pseudo-random member
-   in each list, a quarter of the lists at a time until a quarter links nothing.
+   values. Lists longer than `short` first link their members to the member that shares most with all others (where copies
+   with changes of their own come from one text, that text). This only saves work in the next step.
+   Then all members of different components are tried: two sketches that the estimate lets pass share so many values that, in
+   one order of all values, rarest first, a shared one is among the first few of both. All pairs of different components in
+   the lists of these are compared, in blocks of members, so that no task holds a long list; a pair that cannot share enough
+   from its places in that order on is dropped, the others are verified as in 2.
 4. Components by repeated minimum labels and pointer jumping.
 
 What remains unseen: a pair at the threshold with no retained value in common (0.2 ^ 16 for the first values), or whose
-estimate is off by more than five standard deviations; and in lists longer than `short`, a pair whose every shared retained
-value is in such a list and neither of which reaches the other's component by any of the members tried.
+estimate is off by more than five standard deviations. Work: a family of many different texts from one template, of which
+few pairs reach the threshold, takes as many comparisons as it has pairs.
 
 Scale: all joins are on hashes of values or classes; sketches are a few hundred bytes a class; full sets are made only for
 classes in a candidate pair, by one more pass over their texts. Nothing of the corpus is collected.
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -38,7 +40,7 @@ RETAINED = 64
 FIRST = 16
 SHORT = 32
 SLACK = 5.0
-THIN = 4
+BLOCK = 256
 
 
 def shingles(t: Texts, n: int) -> list[np.ndarray]:
@@ -200,27 +202,35 @@ class Finder:
         return self._labelled(self._labelled(pairs, state, "a", "l_a"), state, "b", "l_b").where("l_a != l_b").select("a", "b")
 
     def second_round(self, held: DataFrame, state: DataFrame) -> DataFrame:
-        """Candidate pairs: all of short lists that share enough, and those with the popular member of longer ones."""
-        few = self._labelled(held.where(F.col("size") <= self.short), state, "node", "label")
-        hot = held.where(F.col("size") > self.short).groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
-        left = few.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-        right = few.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-        met = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & self.sizes_fit("n_a", "n_b"))
-        counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-        # shared values in longer lists were not counted: at most as many as the lesser of both has
-        counted = counted.join(hot.select(F.col("node").alias("a"), F.col("hot").alias("hot_a")), "a", "left").join(hot.select(F.col("node").alias("b"), F.col("hot").alias("hot_b")), "b", "left")
-        unseen = F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
-        need = F.least(F.lit(self.retained), F.greatest("n_a", "n_b")) * self.least
-        enough = counted.where(F.col("shared") + unseen >= F.floor(need)).select("a", "b")
-        stars = self._star(held.where(F.col("size") > self.short), state, "popular", "n_popular")
-        return enough.union(stars).distinct()
-
-    def third_round(self, held: DataFrame, state: DataFrame, part: int) -> DataFrame:
-        """Candidate pairs of one part in THIN of the longer lists that still hold several components: with a pseudo-random member."""
-        rows = self._labelled(held.where((F.col("size") > self.short) & (F.pmod(F.xxhash64("value"), F.lit(THIN)) == part)), state, "node", "label")
-        heads = rows.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("value", "node").alias("h"), "node", "n")).alias("head")).where("x != y")
-        found = rows.join(heads.select("value", F.col("head.node").alias("head"), F.col("head.n").alias("n_head")), "value")
-        return self._star(found, state, "head", "n_head")
+        """Candidate pairs: the popular member of longer lists with all others."""
+        return self._star(held.where(F.col("size") > self.short), state, "popular", "n_popular")
+
+    def rarest(self, held: DataFrame) -> DataFrame:
+        """value, node, n, need, ahead of each class's rarest values: one is shared with any class whose estimate may hold.
+
+        need: how many values a class shares at least with any such; ahead: how many it can share from this value on.
+        """
+        low = F.least(F.lit(self.retained), F.col("n"))
+        # sets that are whole in their sketches, and all sets of fitting size as well, have an exact estimate
+        share = F.when(100 * F.col("n") <= self.percent * self.retained, F.floor((self.percent * F.col("n") + 99) / 100)).otherwise(F.ceil(low * self.least - 1e-6))
+        own = Window.partitionBy("node")
+        ranked = held.select("value", "node", "n", F.greatest(share, F.lit(1)).alias("need"), F.row_number().over(own.orderBy(F.desc("size"), F.desc("value"))).alias("ahead"))
+        return ranked.where(F.col("ahead") >= F.col("need"))
+
+    def third_round(self, held: DataFrame, state: DataFrame) -> DataFrame:
+        """Candidate pairs: all of different components that share one of their rarest values and can share enough from it on."""
+        rows = scratch.write(self._labelled(self.rarest(held), state, "node", "label"), "rarest")
+        each = rows.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c"))
+        lists = each.groupBy("value").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("main")).where("size > main.c")
+        # of two members of different components one at least is outside the list's main component
+        blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+        dealt = rows.join(lists.select("value", F.col("main.label").alias("main"), blocks(F.col("size") - F.col("main.c")).alias("across"), blocks(F.col("size")).alias("down")), "value")
+        dealt = dealt.withColumn("other", F.col("label") != F.col("main")).withColumn("h", F.xxhash64("node", "value"))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = dealt.where("other").select("value", F.pmod("h", "across").cast("int").alias("x"), every("down").alias("y"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("need").alias("need_a"), F.col("ahead").alias("ahead_a"))
+        right = dealt.select("value", every("across").alias("x"), F.pmod("h", "down").cast("int").alias("y"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"), F.col("need").alias("need_b"), F.col("ahead").alias("ahead_b"), "other")
+        met = left.join(right, ["value", "x", "y"]).where((F.col("l_a") != F.col("l_b")) & (~F.col("other") | (F.col("a") < F.col("b"))) & self.sizes_fit("n_a", "n_b") & (F.least("ahead_a", "ahead_b") >= F.greatest("need_a", "need_b")))
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, retained: int = RETAINED, first: int = FIRST, short: int = SHORT) -> DataFrame:
@@ -229,13 +239,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     lists, links = finder.first_round()
     state = components(links)
     held = finder.opened(lists, state)
-    for part in range(-1, THIN):
-        more = finder.verified(finder.second_round(held, state) if part < 0 else finder.third_round(held, state, part))
+    for candidates in (finder.second_round, finder.third_round):
+        more = finder.verified(candidates(held, state))
         if more.limit(1).count():
             links = links.union(more)
             state = components(links)
-        elif part >= 0:  # a part of the lists that links nothing ends the search
-            break
     labelled = finder.nodes.select("node", "given").join(state, "node", "left").select("node", "given", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("given").alias("component_id"))
     of_node = labelled.join(smallest, "label").select(F.col("node").alias("key"), "component_id")

@@ -344,6 +344,21 @@ def test_copies_of_one_text(spark):
     assert {x.component_id for x in got} == {0}
 
 
+def test_changed_copies_without_origin(spark):
+    """Texts from one template that is not in the table itself: few pairs are alike, and all lists of shared values are long."""
+    r = random.Random(1)
+    rows = []
+    for k in range(500):
+        w = [f"w{x}" for x in range(300)]
+        for at in r.sample(range(300), 6):
+            w[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(w)))
+    _, want = groups(rows, 4, 80)
+    assert 10 < len(rows) - len(set(want)) < 100
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=4).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+
+
 def test_near_duplicates_odd_rows(docs, empty):
     got = neardup.near_duplicates(docs, n=4).collect()
     assert len(got) == docs.count() and neardup.near_duplicates(empty).count() == 0
