@@ -484,6 +484,25 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "personal_data", "mix_domains", "pack_sequences"]
 
 
+def test_pipeline_mix_moves(spark):
+    """The mixing stage against its fixed targets: the shares it reaches, and that they are far from those of its input."""
+    import corpus_pipeline
+
+    at = SF.replace("sf0.001", "sf0.1")
+    assert (corpus_pipeline.WEIGHTS, corpus_pipeline.TOTAL_FACTOR) == ({"good": 0.93, "poor": 0.02, "toxic": 0.05}, 1.2)
+    docs = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{at}/documents.parquet"), at).groupBy("text").agg(F.min_by(F.struct(*corpus_pipeline.COLUMNS), "doc_id").alias("r")).select("r.*")
+    members = mixing.posteriors(docs, spark.read.parquet(f"{at}/labels.parquet"), keep=["doc_id"]).select("given.doc_id", "n_tokens", "posterior").cache()
+    mixed = corpus_pipeline.mix_domains(spark, docs, at).select("doc_id").join(members, "doc_id")
+
+    def shares(rows):
+        got = np.array(rows.agg(*[F.sum(F.col("n_tokens") * F.col("posterior")[k]) for k in range(3)]).first())
+        return got / got.sum()
+
+    before, after = shares(members), shares(mixed)
+    assert np.abs(after - [0.903, 0.005, 0.092]).max() < 0.004
+    assert after[0] - before[0] > 0.01 and before[2] - after[2] > 0.01
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
