@@ -49,7 +49,6 @@ TEMPLATES = (
     ("proprietary", "all rights reserved", "copyright all rights reserved"),
 )
 LOOK_UP = 8
-MOST_FILES = 0.2
 LEAST_SCORE = 0.6
 
 _SEPARATOR = np.zeros(256, bool)
@@ -90,10 +89,10 @@ class Index:
             hit &= n[k : k + m] == self.number[w]
         return np.flatnonzero(hit)
 
-    def match(self, n: np.ndarray, files: np.ndarray, limit: float) -> tuple[set[str], float]:
+    def match(self, n: np.ndarray, files: np.ndarray) -> tuple[set[str], float]:
         """Labels and score of one file from its words' numbers. files: in how many files each word occurs."""
         own = n.tolist()
-        there = sorted({w for w in own if w >= 0 and files[w] <= limit}, key=lambda w: (files[w], w))[:LOOK_UP]
+        there = sorted({w for w in own if w >= 0}, key=lambda w: (files[w], w))[:LOOK_UP]
         if not there:
             return set(), 0.0
         chosen = set(there)
@@ -124,8 +123,8 @@ class Index:
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates=TEMPLATES, base=BASE, most_files: float = MOST_FILES) -> DataFrame:
-    """The id and SCHEMA for each row. Words that occur in more than a share most_files of the files are not looked up."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates=TEMPLATES, base=BASE, most_files: float | None = None) -> DataFrame:
+    """The id and SCHEMA for each row. most_files, once a cut of frequent words, has no effect: a word's rank is its rarity."""
     slim = docs.select(F.col(id_col).alias("given"), F.col(text).alias("measured"))
     index = Index(templates, base)
     held = docs.sparkSession.sparkContext.broadcast(index)
@@ -145,7 +144,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates=
     found = np.zeros(len(index.words) + 1, np.int64)
     for r in slim.select("measured").mapInArrow(count, "word long, files long").groupBy("word").agg(F.sum("files").alias("files")).collect():
         found[r["word"]] = r["files"]
-    limit = most_files * found[-1]
 
     def run(batches):
         own = held.value
@@ -163,10 +161,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates=
                     np.maximum.at(last, owner[at], at - t.first[owner[at]])
                     for k in np.unique(owner[at]).tolist():
                         labels[k].add(label)
-                rare = np.append(found[:-1] <= limit, False)
                 score, more = np.zeros(t.n), [set(x) for x in labels]
-                for k in np.unique(owner[rare[n]]).tolist():
-                    new, score[k] = own.match(n[t.first[k] : t.last[k]], found, limit)
+                for k in np.unique(owner[n >= 0]).tolist():
+                    new, score[k] = own.match(n[t.first[k] : t.last[k]], found)
                     more[k] |= new
                 none = number == 0
                 join = lambda x: pa.array([",".join(sorted(y)) for y in x], pa.string())

@@ -436,6 +436,17 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+
+
+@pytest.mark.parametrize("every", [3, 50])
+def test_license_of_many_files(spark, every):
+    """A notice is found whether a third of all files carry it or few do."""
+    rows = [(k, f"file {k} {BSD} text" if k % every == 0 else f"plain words {k}") for k in range(150)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == (("bsd", 1.0) if k % every == 0 else ("", 0.0)) for k in range(150))
+
+
 # 10 personal data
 
 
