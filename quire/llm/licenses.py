@@ -1,21 +1,21 @@
 """License scans by a positional rare-token index over license templates.
 
-The words of all templates are the licence words; one scan counts in how many files each occurs. A file's rarest licence
-words are looked up in the templates' postings (word -> template, position); an occurrence at p of a word that a template
-has at q speaks for that template starting at p - q, and starts on which the looked-up words of the template meet are kept.
-A start is verified word by word, and its template's mandatory key phrase must stand there in full.
+The words of all templates are the licence words; one scan counts in how many files each occurs. Of each template the rarest
+words are looked up in the files that hold its mandatory key phrase; one that stands at p and that the template has at q
+speaks for the template starting at p - q. One word more is looked up than a start may miss, so every start that holds is
+found, however frequent the words. A start is verified word by word, and the key phrase must stand at it in full.
 
 Base phrases are found beside that at every place they stand and always give their labels.
 
 Scale: two scans, no text is shuffled; the counts are as many as the templates have words, whatever the corpus.
 
 Defined cases: a null or empty text has no words, no labels and score 0; ids may be null or repeat, each row is scanned;
-equally rare words are taken in alphabetical order; an empty table gives no rows; other columns are not read.
+equally rare words are taken in alphabetical order, which changes no result; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,6 @@ TEMPLATES = (
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved", "copyright all rights reserved"),
 )
-LOOK_UP = 8
 LEAST_SCORE = 0.6
 
 _SEPARATOR = np.zeros(256, bool)
@@ -56,7 +55,7 @@ _SEPARATOR[:0x30] = _SEPARATOR[0x3A:0x61] = _SEPARATOR[0x7B:0x80] = True
 
 
 class Index:
-    """Postings of the templates; words have numbers in alphabetical order."""
+    """Words and key phrases of the templates; words have numbers in alphabetical order."""
 
     def __init__(self, templates=TEMPLATES, base=BASE):
         self.templates = [(label, key.split(), words.split()) for label, key, words in templates]
@@ -64,10 +63,9 @@ class Index:
         texts = [w for _, k, t in self.templates for w in (*k, *t)] + [w for p, _ in self.base for w in p]
         self.words = sorted(set(texts))
         self.number = {w: k for k, w in enumerate(self.words)}
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, _, words) in enumerate(self.templates):
-            for q, w in enumerate(words):
-                self.postings[self.number[w]].append((t, q))
+        self.keys: dict[str, list[int]] = defaultdict(list)  # key phrase -> templates
+        for t, (_, key, _) in enumerate(self.templates):
+            self.keys[" ".join(key)].append(t)
         own = Texts(pa.array(self.words, pa.large_string()), lower=True, separators=_SEPARATOR)
         h = own.word_hashes()
         self.order = np.argsort(h)
@@ -89,34 +87,38 @@ class Index:
             hit &= n[k : k + m] == self.number[w]
         return np.flatnonzero(hit)
 
-    def match(self, n: np.ndarray, files: np.ndarray) -> tuple[set[str], float]:
-        """Labels and score of one file from its words' numbers. files: in how many files each word occurs."""
-        own = n.tolist()
-        there = sorted({w for w in own if w >= 0}, key=lambda w: (files[w], w))[:LOOK_UP]
-        if not there:
-            return set(), 0.0
-        chosen = set(there)
-        votes: Counter = Counter()
-        for p in np.flatnonzero(np.isin(n, there)).tolist():
-            for t, q in self.postings[own[p]]:
-                votes[t, p - q] += 1
-        most: Counter = Counter()  # the places at which a template has one of the chosen words
-        for w in chosen:
-            for t, _ in self.postings[w]:
-                most[t] += 1
+    def rarest(self, files: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Words (sorted) and positions to look up of each template: its rarest, one more than a verified start may miss."""
+        out = []
+        for _, _, words in self.templates:
+            own = np.array([self.number[w] for w in words])
+            miss = sum(k / len(words) >= LEAST_SCORE for k in range(len(words)))
+            at = np.lexsort((own, files[own]))[: miss + 1]
+            at = at[np.argsort(own[at], kind="stable")]
+            out.append((own[at], at))
+        return out
+
+    def match(self, n: np.ndarray, keys: dict[int, np.ndarray], rarest: list[tuple[np.ndarray, np.ndarray]]) -> tuple[set[str], float]:
+        """Labels and score of one file from its words' numbers. keys: where the key phrases of templates stand in it."""
         labels, score = set(), 0.0
-        for (t, a), v in votes.items():
+        for t, stands in keys.items():
             label, key, words = self.templates[t]
-            if 2 * v < most[t] or v < min(2, most[t]):
-                continue
-            same = sum(0 <= a + q < len(own) and own[a + q] == self.number[w] for q, w in enumerate(words)) / len(words)
-            if same < LEAST_SCORE:
-                continue
-            want = [self.number[w] for w in key]
-            lo = max(a - len(want), 0)
-            if any(own[k : k + len(want)] == want for k in range(lo, min(a + len(words), len(own)))):
+            want, m = np.array([self.number[w] for w in words]), len(words)
+            looked, places = rarest[t]
+            at = np.flatnonzero(np.isin(n, looked))
+            lo, hi = np.searchsorted(looked, n[at], "left"), np.searchsorted(looked, n[at], "right")
+            starts = np.unique(np.concatenate([p - places[x:y] for p, x, y in zip(at.tolist(), lo.tolist(), hi.tolist())] or [at]))
+            # the key phrase begins at most its own length before the start, and before the template's end
+            next_key = np.searchsorted(stands, np.maximum(starts - len(key), 0))
+            starts = starts[np.append(stands, len(n) + m)[next_key] < np.minimum(starts + m, len(n))]
+            same = np.zeros(len(starts), np.int64)
+            for q in range(m):
+                inside = (starts + q >= 0) & (starts + q < len(n))
+                same += inside & (n[np.clip(starts + q, 0, len(n) - 1)] == want[q])
+            best = same.max(initial=0) / m
+            if best >= LEAST_SCORE:
                 labels.add(label)
-                score = max(score, same)
+                score = max(score, best)
         return labels, score
 
 
@@ -145,6 +147,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates=
     for r in slim.select("measured").mapInArrow(count, "word long, files long").groupBy("word").agg(F.sum("files").alias("files")).collect():
         found[r["word"]] = r["files"]
 
+    rarest = index.rarest(found[:-1])
+
     def run(batches):
         own = held.value
         for batch in batches:
@@ -162,8 +166,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates=
                     for k in np.unique(owner[at]).tolist():
                         labels[k].add(label)
                 score, more = np.zeros(t.n), [set(x) for x in labels]
-                for k in np.unique(owner[n >= 0]).tolist():
-                    new, score[k] = own.match(n[t.first[k] : t.last[k]], found)
+                keys: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
+                for phrase, of in own.keys.items():
+                    at = own.phrase(n, owner, phrase.split())
+                    at, texts = at - t.first[owner[at]], owner[at]
+                    for k in np.unique(texts).tolist():
+                        keys[k].update(dict.fromkeys(of, at[np.searchsorted(texts, k) : np.searchsorted(texts, k, "right")]))
+                for k, where in keys.items():
+                    new, score[k] = own.match(n[t.first[k] : t.last[k]], where, rarest)
                     more[k] |= new
                 none = number == 0
                 join = lambda x: pa.array([",".join(sorted(y)) for y in x], pa.string())

@@ -447,6 +447,37 @@ def test_license_of_many_files(spark, every):
     assert all(got[k] == (("bsd", 1.0) if k % every == 0 else ("", 0.0)) for k in range(150))
 
 
+def best_starts(text):
+    """Labels and score by all starts of all templates, without an index."""
+    own, labels, score = re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower()), set(), 0.0
+    for label, key, words in licenses.TEMPLATES:
+        key, words = key.split(), words.split()
+        for a in range(-len(words), len(own)):
+            same = sum(0 <= a + q < len(own) and own[a + q] == w for q, w in enumerate(words)) / len(words)
+            if same >= licenses.LEAST_SCORE and any(own[k : k + len(key)] == key for k in range(max(a - len(key), 0), min(a + len(words), len(own)))):
+                labels.add(label)
+                score = max(score, same)
+    return labels | {label for p, label in licenses.BASE if f" {p} " in " ".join(["", *own, ""])}, score
+
+
+def test_two_licenses_in_a_file(spark):
+    """Each notice of a file is found, whichever words are rare in the corpus; checked with all starts."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+    r, texts = random.Random(3), [f"{mit} Licensed under CC BY 4.0", "charge deal person obtaining " + "words " * 50 + " licensed under cc by 4.0"]
+    texts += [mit] * 20 + ["Licensed under CC BY 4.0"] * 100
+    known = [w for _, _, t in licenses.TEMPLATES for w in t.split()]
+    for _ in range(150):  # several notices with some words changed, among stray licence words
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            w = r.choice(licenses.TEMPLATES)[2].split()
+            parts += [r.choice(known) for _ in range(r.randint(0, 6))] + [r.choice(known) if r.random() < 0.08 else x for x in w]
+        texts.append(" ".join(parts))
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].labels == "cc-by,mit" and got[1].labels == "cc-by"
+    for k, t in enumerate(texts):
+        assert (set(got[k].labels.split(",")) - {""}, round(got[k].score, 9)) == (best_starts(t)[0], round(best_starts(t)[1], 9)), t
+
+
 # 10 personal data
 
 
