@@ -359,6 +359,16 @@ def test_changed_copies_without_origin(spark):
     assert [got[k] for k in range(len(rows))] == want
 
 
+def test_forms(spark):
+    """Forms with the same fields: few are alike, and a part of the lists says nothing of the others."""
+    r = random.Random(1)
+    rows = [(k, " ".join(f"{' '.join(f'f{f}-{x}' for x in range(9))} v{f}-{r.randrange(6)}" for f in range(8))) for k in range(400)]
+    _, want = groups(rows, 4, 80)
+    assert 10 < len(rows) - len(set(want)) < 200
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=4).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+
+
 def test_near_duplicates_odd_rows(docs, empty):
     got = neardup.near_duplicates(docs, n=4).collect()
     assert len(got) == docs.count() and neardup.near_duplicates(empty).count() == 0
