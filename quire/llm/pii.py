@@ -4,7 +4,9 @@ Entities are found by one pattern. Every distinct entity of the corpus gets one
 type and format (digits for digits, letters for letters, valid addresses, card numbers that pass or fail the checksum as
 the original does, given names of the title's gender in the original's script). Then collisions are looked for: two
 entities with one surrogate, or a surrogate that is itself an entity of the corpus; the later ones take the digest with the
-next salt, until there are none. So different entities stay different, and an entity has one surrogate wherever it stands.
+next salt, until there are none. A secret keeps its signs and the scripts of its letters; one with too few letters and digits
+becomes letters and digits. What still collides after ROUNDS salts takes a longer value than its format has, so that no
+corpus is without a result. So different entities stay different, and an entity has one surrogate wherever it stands.
 
 Scale: texts are scanned once and written with the entities found and a row number; distinct entities are aggregated before
 they are joined; only texts that hold entities are joined, by their row number, with their replacements.
@@ -47,6 +49,14 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe fo ga ge go ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve vo wa we",
     "cyrillic": "ба бе бо да де до га ге го ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ва ве во",
 }
+# Letters that stand for a script's letters; those of scripts not named become Latin ones.
+LETTERS = tuple((p, "".join(map(chr, range(first, first + n)))) for p, first, n in (
+    (r"[\p{IsCyrillic}&&\p{Lu}]", 0x410, 32), (r"[\p{IsCyrillic}&&\p{L}]", 0x430, 32), (r"[\p{IsGreek}&&\p{Lu}]", 0x3A3, 7), (r"[\p{IsGreek}&&\p{L}]", 0x3B1, 25), (r"\p{IsHan}", 0x4E00, 256),
+    (r"[\p{IsHiragana}&&\p{L}]", 0x3042, 80), (r"[\p{IsKatakana}&&\p{L}]", 0x30A2, 80), (r"[\p{IsHangul}&&\p{L}]", 0xAC00, 256), (r"[\p{IsArabic}&&\p{L}]", 0x628, 19), (r"[\p{IsHebrew}&&\p{L}]", 0x5D0, 27),
+    (r"\p{Lu}", 0x41, 26), (r"\p{L}", 0x61, 26), (r"\p{Nd}", 0x30, 10),
+))
+ALPHANUMERIC = "abcdefghijklmnopqrstuvwxyz0123456789"
+LEAST_VARIED = 6
 DEFAULT_KEY = "a key of the deployment's own belongs here"
 BLOCK = 32
 ROUNDS = 40
@@ -92,6 +102,27 @@ def _shaped(s: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.split(s, ""), one), "")
 
 
+def _pick(letters: str, b: Column) -> Column:
+    return F.substring(F.lit(letters), b % len(letters) + 1, F.lit(1))
+
+
+def _secret(s: Column, digest: Column) -> Column:
+    """As _shaped, with letters of other scripts replaced as well; letters and digits alone where few characters can vary."""
+
+    def other(c: Column, i: Column) -> Column:
+        out = F.when(c.rlike(r"^\p{ASCII}$"), c)
+        for p, letters in LETTERS:
+            out = out.when(c.rlike(f"^{p}$"), _pick(letters, _byte(digest, i)))
+        return out.otherwise(c)
+
+    chars = F.split(s, "")
+    few = F.length(F.regexp_replace(s, r"[^\p{L}\p{Nd}]", "")) < LEAST_VARIED
+    plain = F.array_join(F.transform(chars, lambda c, i: _pick(ALPHANUMERIC, _byte(digest, i))), "")
+    shaped = _shaped(s, digest)
+    wide = F.array_join(F.transform(F.split(shaped, ""), other), "")
+    return F.when(few, plain).when(s.rlike(r"^\p{ASCII}*$"), shaped).otherwise(wide)
+
+
 def _luhn(digits: Column) -> Column:
     """The sum of the card checksum, from the last digit on."""
     n = F.length(digits)
@@ -118,7 +149,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     end = F.when(reserved != "", reserved).otherwise(F.substring_index(domain, ".", -1))
     email = F.concat(_shaped(F.concat(name, F.lit("@"), sub), g), end)
     label = F.regexp_extract(e, r"^([A-Za-z_-]+\s*[:=]\s*[\"']?)", 1)
-    secret = F.concat(label, _shaped(F.substring(e, F.length(label) + 1, F.length(e)), g))
+    secret = F.concat(label, _secret(F.substring(e, F.length(label) + 1, F.length(e)), g))
     prefix = F.regexp_extract(e, "^(AKIA|akia|gh[pousr]_|sk-)", 1)
     own = F.concat(prefix, _shaped(F.substring(e, F.length(prefix) + 1, F.length(e)), g))
     ip = F.concat_ws(".", *[(_byte(g, F.lit(k)) % n + 1).cast("string") for k, n in enumerate((126, 254, 254, 254))])
@@ -139,23 +170,27 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     male = F.regexp_extract(title, rf"^({MALE})\.? $", 1) != ""
     cyrillic = F.substring(e, F.length(title) + 1, F.length(e)).rlike(r"^\p{IsCyrillic}")
 
-    def person(script: str) -> Column:
+    def person(script: str, syllables: int = 4) -> Column:
         pick = lambda words, k: F.element_at(_words(words), _byte(g, F.lit(k)) % len(words.split()) + 1)
         given = F.when(male, pick(NAMES[script, "male"], 0)).otherwise(pick(NAMES[script, "female"], 0))
-        surname = F.initcap(F.concat(*[pick(SYLLABLES[script], k) for k in (1, 2, 3, 4)]))
+        surname = F.initcap(F.concat(*[pick(SYLLABLES[script], k) for k in range(1, syllables + 1)]))
         return F.concat(title, F.when(e.rlike(r"^\p{L}+\.? \p{L}+ "), F.concat(given, F.lit(" "), surname)).otherwise(surname))
 
     kind = F.col("kind")
     made = F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "key", own).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "person", F.when(cyrillic, person("cyrillic")).otherwise(person("latin")))
     iban = F.concat(F.substring(e, 1, 2), _shaped(F.substring(e, F.lit(3), F.length(e)), g))
-    return df.withColumn("surrogate", made.when(kind == "iban", iban).otherwise(_shaped(e, g))).drop("digest")
+    own_format = made.when(kind == "iban", iban).otherwise(_shaped(e, g))
+    long, number = F.substring(g, 1, 32), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: _pick("0123456789", _byte(g, i))), "")
+    spare = F.when(kind == "email", F.concat(long, F.lit("@"), _shaped(sub, g), end)).when(kind == "secret", F.concat(label, long)).when(kind == "key", F.concat(prefix, long))
+    spare = spare.when(kind == "person", F.when(cyrillic, person("cyrillic", 24)).otherwise(person("latin", 24))).when(kind == "iban", F.concat(F.substring(e, 1, 2), number)).otherwise(number)
+    return df.withColumn("surrogate", F.when(salt < ROUNDS, own_format).otherwise(spare)).drop("digest")
 
 
 def distinct_surrogates(found: DataFrame, key: str) -> DataFrame:
     """entity, kind, surrogate for the distinct entities: no two alike, none an entity itself."""
     table = scratch.write(found.distinct().select(kind_of(F.col("entity")).alias("kind"), "entity", F.lit(0).alias("salt")), "entities")
     real = table.select(F.col("entity").alias("real"))
-    for _ in range(ROUNDS):
+    while True:
         made = surrogates(table, key)
         order = Window.partitionBy("surrogate").orderBy("salt", "entity")
         checked = made.withColumn("rank", F.row_number().over(order)).join(real, F.col("surrogate") == F.col("real"), "left")
@@ -163,7 +198,6 @@ def distinct_surrogates(found: DataFrame, key: str) -> DataFrame:
         if not checked.where("collides").limit(1).count():
             return checked.select("entity", "kind", "surrogate")
         table = checked.select("kind", "entity", (F.col("salt") + F.col("collides").cast("int")).alias("salt"))
-    raise ValueError("more entities of a kind than surrogates of its format")
 
 
 def replace(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:

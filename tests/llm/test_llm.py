@@ -516,6 +516,25 @@ def test_surrogates_stay_distinct(spark):
     assert all(got[k] == got[k + 10_000] for k in range(50))
 
 
+def test_secrets_of_signs_and_scripts(spark):
+    """Each secret gets another value, of which nothing is left, also where no ASCII letter or digit can vary."""
+    values = ["********", "------", "-----1", "пароль-Секрет", "密码密码密码密码", "ключ😀ключ9", "συνθημα", "éàüöñçß", "hunter2!!"]
+    rows = [(k, f"password: {v} end") for k, v in enumerate(values)]
+    got = {x.doc_id: x for x in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    made = [re.fullmatch(r"password: (\S+) end", got[k]["text"])[1] for k in range(len(values))]
+    assert all(got[k].kinds == "secret=1" for k in got) and len(set(made)) == len(values) and not set(made) & set(values)
+    assert not any(v[k : k + 4] in m for v, m in zip(values, made) for k in range(len(v) - 3))
+    assert re.fullmatch("[а-я]{6}-[А-Я][а-я]{5}", made[3]) and re.fullmatch("[\u4e00-\u9fff]{8}", made[4]) and re.fullmatch("[a-z0-9]{8}", made[0])
+
+
+def test_more_entities_than_surrogates(spark, monkeypatch):
+    """An address of one hex letter and a domain of one has 36 surrogates, and all 36 are entities here."""
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    rows = [(6 * i + j, f"{a}@{b}.com") for i, a in enumerate("abcdef") for j, b in enumerate("abcdef")]
+    got = [x["text"] for x in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(set(got)) == 36 and not set(got) & {t for _, t in rows} and all(re.fullmatch(r"[0-9a-f]{32}@[a-f]\.com", t) for t in got)
+
+
 def test_surrogates_odd_rows(docs, empty):
     got = pii.replace(docs)
     assert got.columns == [*docs.columns, "n_replaced", "kinds"] and got.count() == docs.count() and pii.replace(empty).count() == 0
