@@ -1,24 +1,25 @@
-"""MinHash near-duplicates from bottom-k sketches of one hash function, each link verified on full shingle sets.
+"""MinHash near-duplicates from bottom-k sketches of one hash function; every link at the threshold is found.
 
 1. Every text becomes its set of hashed word shingles; texts with equal sets are one class from here on, so exact copies
-   cost one row each and are never paired. A class keeps its `retained` smallest hashes, its sketch.
-2. Inverted lists: class by retained value. Each list links its members to its first member; these pairs are filtered by
-   set sizes and by the similarity that the union of two sketches estimates, then verified by exact Jaccard.
-3. Lists whose members are now in one component are done. The others' members are looked at again with all their retained
-   values. Lists longer than `short` first link their members to the member that shares most with all others (where copies
-   with changes of their own come from one text, that text). This only saves work in the next step.
-   Then all members of different components are tried: two sketches that the estimate lets pass share so many values that, in
-   one order of all values, rarest first, a shared one is among the first few of both. All pairs of different components in
-   the lists of these are compared, in blocks of members, so that no task holds a long list; a pair that cannot share enough
-   from its places in that order on is dropped, the others are verified as in 2.
-4. Components by repeated minimum labels and pointer jumping.
-
-What remains unseen: a pair at the threshold with no retained value in common (0.2 ^ 16 for the first values), or whose
-estimate is off by more than five standard deviations. Work: a family of many different texts from one template, of which
-few pairs reach the threshold, takes as many comparisons as it has pairs.
-
-Scale: all joins are on hashes of values or classes; sketches are a few hundred bytes a class; full sets are made only for
-classes in a candidate pair, by one more pass over their texts. Nothing of the corpus is collected.
+   cost one row each and are never paired. A class keeps its `RETAINED` smallest hashes, its sketch. Two alike sets share many
+   of them (`shared_values`): in small sets at least so many as the threshold asks, in others so many that fewer would be
+   `SLACK` standard deviations off.
+2. Inverted lists: class by retained value. Classes with too few values in lists of two or more have no link.
+   Of the others each list pairs its members with its first member and with the member that shares most; the union of the
+   two sketches estimates the similarity, and exact Jaccard decides.
+3. Components. A list whose members are in one component is done. Classes with enough values in lists of several components
+   are looked at with their full sets: their values in such lists, rarest first, are their order, and two alike sets share a
+   value early in both: one so late that fewer values follow than must be shared speaks for no pair. Members of long
+   lists are compared in blocks. These pairs are estimated and verified in the same way, and join components.
+
+Step 2 only saves work in step 3, which tries every pair of different components that can reach the threshold: no list is cut
+and no class has a bound on its partners. What can still be missed is a pair whose sketches are off by more than eight standard
+deviations. Work: a family of many texts from one template whose pairs are all near the threshold, and not linked through
+others, takes as many comparisons as it has pairs.
+
+Scale: all joins are on hashes of values or classes, a list's size comes from partial counts, long lists are dealt in blocks.
+A sketch is a few hundred bytes; texts are shuffled once, to read the full sets of the classes that step 2 leaves. Nothing of
+the corpus is collected.
 
 Defined cases: null texts and texts without words have no shingles, their own id as component, and are linked with nothing;
 texts with fewer words than a shingle are one shingle; a row with a null id is grouped by its text, and its component is the
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -37,9 +38,7 @@ from quire.llm import scratch
 from quire.llm.words import Texts, U, grams, mix, pieces
 
 RETAINED = 64
-FIRST = 16
-SHORT = 32
-SLACK = 5.0
+SLACK = 8.0
 BLOCK = 256
 
 
@@ -64,52 +63,92 @@ def _key(s: np.ndarray) -> bytes:
     return np.array([mix(u).sum(dtype=U), mix(u ^ U(0x5851F42D4C957F2D)).sum(dtype=U)], U).tobytes()
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    off = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
+
+
 def _each(batch: pa.RecordBatch, text: str, n: int):
     for a, b in pieces(batch, text):
         yield a, b, shingles(Texts(batch.column(text).slice(a, b - a), lower=True), n)
 
 
-def sketches(docs: DataFrame, id_col: str, text: str, n: int, retained: int) -> DataFrame:
-    """given, n_shingles, node (null without shingles), low (the smallest hashes, in order)."""
-    slim = docs.select(F.col(id_col).alias("given"), F.col(text).alias("measured"))
+def shared_values(percent: int) -> int:
+    """How many retained values two alike sets share at least, if neither is whole in its sketch.
+
+    With the share p of its values in common, the l-th common one has the place l / p in a set, give or take SLACK times
+    the square root of l (1 - p) / p^2; as long as that is within the sketch, all l are in it.
+    """
+    p = percent / 100
+    return max([1, *(k for k in range(1, RETAINED + 1) if k / p + SLACK * (k * (1 - p)) ** 0.5 / p <= RETAINED)])
+
+
+def _least(n: Column, percent: int) -> Column:
+    """How many of its n values a set shares at least with any that is alike, whatever the other's size."""
+    return F.floor((percent * n + 99) / 100)
+
+
+def sketches(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """given, look (a hash of the text), n_shingles, key (null without shingles), low (the retained hashes, in order)."""
+    slim = docs.select(F.col(id_col).alias("given"), F.xxhash64(text).alias("look"), F.col(text).alias("measured"))
 
     def run(batches):
         for batch in batches:
             for a, b, sets in _each(batch, "measured", n):
-                low = [s[:retained] for s in sets]
-                flat = pa.array(np.concatenate([*low, np.zeros(0, np.int64)]))
-                off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("given").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(off, flat)], names=schema.names)
+                low = [s[:RETAINED] for s in sets]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("given"), part.column("look"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.binary()), _lists(low)], names=schema.names)
 
-    schema = StructType([slim.schema["given"], *StructType.fromDDL("n_shingles long, node binary, low array<long>").fields])
+    schema = StructType([slim.schema["given"], *StructType.fromDDL("look long, n_shingles long, key binary, low array<long>").fields])
     return slim.mapInArrow(run, schema)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """node, full: of each wanted (given, node) the whole set, from a row with that id and this set."""
-    slim = docs.select(F.col(id_col).alias("given"), F.col(text).alias("measured"))
-    rows = slim.join(wanted.withColumnRenamed("given", "wanted"), F.col("given").eqNullSafe(F.col("wanted"))).select("node", "measured")
+    """node, full: the whole set of each wanted class (node, given, look, key), from a row with that id and text."""
+    slim = docs.select(F.col(id_col).alias("given"), F.xxhash64(text).alias("look"), F.col(text).alias("measured"))
+    same = (F.col("look") == F.col("_look")) & F.col("given").eqNullSafe(F.col("_given"))
+    rows = slim.join(wanted.select("node", "key", F.col("given").alias("_given"), F.col("look").alias("_look")), same).select("node", "key", "measured")
 
     def run(batches):
         for batch in batches:
             for a, b, sets in _each(batch, "measured", n):
-                nodes = batch.column("node").slice(a, b - a)
-                own = [k for k, (x, s) in enumerate(zip(nodes.to_pylist(), sets)) if _key(s) == x]
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(own, pa.int64())), pa.array([sets[k].tobytes() for k in own], pa.binary())], names=["node", "full"])
+                part = batch.slice(a, b - a)
+                own = [k for k, (x, s) in enumerate(zip(part.column("key").to_pylist(), sets)) if _key(s) == x]
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(own, pa.int64())), _lists([sets[k] for k in own])], names=["node", "full"])
+
+    return rows.mapInArrow(run, "node long, full array<long>").groupBy("node").agg(F.first("full").alias("full"))
+
 
-    return rows.mapInArrow(run, "node binary, full binary").groupBy("node").agg(F.first("full").alias("full"))
+def _compare(percent: int):
+    """Marks pairs of full sets that are alike: first by the estimate from their sketches' union, then exactly."""
+    least = max(percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / RETAINED) ** 0.5, 0.0)
 
+    def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        both = np.concatenate([x, y])
+        both.sort()
+        return both, both[1:] == both[:-1]
 
-def _alike(batches):
-    """Marks pairs of full sets by their exact similarity: intersection and union."""
-    for batch in batches:
-        left, right = batch.column("full_a").to_pylist(), batch.column("full_b").to_pylist()
-        both = [len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for x, y in zip(left, right)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array([(len(x) + len(y)) // 8 - z for x, y, z in zip(left, right, both)], pa.int64())], names=["a", "b", "inter", "total"])
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        if max(len(x), len(y)) > RETAINED:
+            both, twice = shared(x[:RETAINED], y[:RETAINED])
+            place = np.arange(len(twice)) - np.cumsum(twice) + twice  # of each value in the union
+            if (twice & (place < RETAINED)).sum() < least * RETAINED:
+                return False
+        inter = int(shared(x, y)[1].sum())
+        return 100 * inter >= percent * (len(x) + len(y) - inter)
 
+    def run(batches):
+        for batch in batches:
+            left, right = batch.column("full_a"), batch.column("full_b")
+            x, y = left.flatten().to_numpy(), right.flatten().to_numpy()
+            xo, yo = (np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy())]).tolist() for c in (left, right))
+            keep = [k for k in range(batch.num_rows) if alike(x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]])]
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
-def _label(frame: DataFrame, name: str) -> DataFrame:
-    return frame.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+    return run
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -132,121 +171,112 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 class Finder:
     """The steps over one corpus, with its written sketches."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text: str, n: int, similarity: float, retained: int, first: int, short: int):
-        self.docs, self.id_col, self.text, self.n = docs, id_col, text, n
-        self.similarity, self.retained, self.first, self.short = similarity, retained, first, short
-        self.percent = round(similarity * 100)
-        spread = SLACK * (similarity * (1 - similarity) / retained) ** 0.5
-        self.least = max(similarity - spread, 0.0)
-        self.rows = scratch.write(sketches(docs, id_col, text, n, retained), "sketches")
-        found = self.rows.where(F.col("node").isNotNull())
-        self.nodes = scratch.write(found.groupBy("node").agg(F.min("given").alias("given"), F.first("n_shingles").alias("n"), F.first("low").alias("low")), "classes")
-
-    def sizes_fit(self, a: str, b: str):
+    def __init__(self, docs: DataFrame, id_col: str, text: str, n: int, percent: int):
+        self.percent = percent
+        self.rows = scratch.write(sketches(docs, id_col, text, n), "sketches")
+        found = self.rows.where(F.col("key").isNotNull())
+        first = F.min(F.struct(F.col("given").isNull().alias("none"), "given", "look"))
+        classes = found.groupBy("key").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("low").alias("low"))
+        # numbers of written rows, so they stay as they are
+        self.nodes = scratch.write(classes.select(F.monotonically_increasing_id().alias("node"), "key", "first.given", "first.look", "n", "low"), "classes")
+        self.members = scratch.write(self.open_members(), "members")
+        able = self.members.select("node").distinct()
+        wanted = self.nodes.join(able, "node", "left_semi").select("node", "key", "given", "look")
+        self.sets = scratch.write(_full_sets(docs, wanted, id_col, text, n), "sets")
+
+    def fit(self, a: str, b: str) -> Column:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The written pairs (a, b) of which the sketches' estimate and then the exact similarity hold."""
-        side = lambda k: self.nodes.select(F.col("node").alias(k), F.col("low").alias(f"low_{k}"), F.col("n").alias(f"n_{k}"))
-        sketched = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-        union = F.slice(F.array_sort(F.array_union("low_a", "low_b")), 1, self.retained)
-        shared = F.array_intersect("low_a", "low_b")
-        # with both sets whole in their sketches, the union is whole as well, and the estimate is exact
-        estimate = F.size(F.array_intersect(union, shared)) / F.size(union)
-        likely = scratch.write(sketched.where(self.sizes_fit("n_a", "n_b") & (estimate >= self.least)).select("a", "b"), "likely")
-        wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(self.nodes.select("node", "given"), "node").select("given", "node")
-        full = scratch.write(_full_sets(self.docs, wanted, self.id_col, self.text, self.n), "sets")
-        side = lambda k: full.select(F.col("node").alias(k), F.col("full").alias(f"full_{k}"))
-        checked = likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike, "a binary, b binary, inter long, total long")
-        out = scratch.write(checked.where(100 * F.col("inter") >= self.percent * F.col("total")).select("a", "b"), "links")
-        scratch.drop(likely)
-        scratch.drop(full)
-        return out
-
-    def lists(self, values: DataFrame) -> DataFrame:
-        """values (value, node, n, ...) of lists with two members or more, with the list's size and its first member."""
-        heads = values.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("head")).where("size > 1")
-        return values.join(heads, "value")
-
-    def first_round(self) -> tuple[DataFrame, DataFrame]:
-        values = self.nodes.select("node", "n", F.explode(F.slice("low", 1, self.first)).alias("value"))
-        lists = scratch.write(self.lists(values).select("value", "node", "n", "size", "head"), "lists")
-        pairs = lists.where((F.col("node") != F.col("head.node")) & self.sizes_fit("n", "head.n")).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
-        return lists, self.verified(pairs)
-
-    def opened(self, lists: DataFrame, state: DataFrame) -> DataFrame:
-        """Written rows (value, node, n, size, popular) of all lists of the classes that some list of several components holds.
-
-        popular is the member that shares most: of largest sum of its lists' sizes. Of copies with changes of their own it is
-        the one they come from, or the one nearest to that.
+    def enough(self, n: Column) -> Column:
+        """How many retained values a class shares at least with any alike, whose own must_share may be less."""
+        return F.least(F.lit(shared_values(self.percent)), _least(_least(n, self.percent), self.percent))
+
+    def open_members(self) -> DataFrame:
+        """value, node, n, shares of the classes with enough values in lists of two members or more.
+
+        shares: the sum of the sizes of a class's lists.
         """
-        labelled = lists.select("value", "node").join(state, "node", "left").select("value", "node", F.coalesce("label", "node").alias("label"))
-        mixed = labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("value")
-        open_nodes = lists.select("value", "node").join(mixed, "value", "left_semi").select("node").distinct()
-        values = scratch.write(self.nodes.join(open_nodes, "node", "left_semi").select("node", "n", F.explode("low").alias("value")), "values")
+        values = self.nodes.select("node", "n", F.explode("low").alias("value"))
         sizes = values.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = scratch.write(values.join(sizes, "value"), "sized")
-        scratch.drop(values)
-        shares = sized.groupBy("node").agg(F.sum("size").alias("shares"))
-        order = F.struct("shares", F.xxhash64("value", "node").alias("h"), "node", "n")
-        popular = sized.join(shares, "node").groupBy("value").agg(F.max(order).alias("popular"))
-        return scratch.write(sized.join(popular, "value").select("value", "node", "n", "size", F.col("popular.node").alias("popular"), F.col("popular.n").alias("n_popular")), "open")
-
-    def _labelled(self, rows: DataFrame, state: DataFrame, node: str, name: str) -> DataFrame:
-        at = state.select(F.col("node").alias("_at"), F.col("label").alias("_label"))
-        return rows.join(at, F.col(node) == F.col("_at"), "left").withColumn(name, F.coalesce("_label", node)).drop("_at", "_label")
-
-    def _star(self, rows: DataFrame, state: DataFrame, head: str, n_head: str) -> DataFrame:
-        """Pairs of a list's head and its members of other components."""
-        pairs = rows.where((F.col("node") != F.col(head)) & self.sizes_fit("n", n_head)).select(F.least("node", head).alias("a"), F.greatest("node", head).alias("b")).distinct()
-        return self._labelled(self._labelled(pairs, state, "a", "l_a"), state, "b", "l_b").where("l_a != l_b").select("a", "b")
-
-    def second_round(self, held: DataFrame, state: DataFrame) -> DataFrame:
-        """Candidate pairs: the popular member of longer lists with all others."""
-        return self._star(held.where(F.col("size") > self.short), state, "popular", "n_popular")
-
-    def rarest(self, held: DataFrame) -> DataFrame:
-        """value, node, n, need, ahead of each class's rarest values: one is shared with any class whose estimate may hold.
-
-        need: how many values a class shares at least with any such; ahead: how many it can share from this value on.
+        lists = scratch.write(values.join(sizes, "value").select("value", "node", "n", "size"), "lists")
+        own = lists.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("shares"), F.first("n").alias("n")).where(F.col("c") >= self.enough(F.col("n")))
+        return lists.select("value", "node").join(own.select("node", "n", "shares"), "node").select("value", "node", "n", "shares")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are alike, written."""
+        side = lambda k: self.sets.select(F.col("node").alias(k), F.col("full").alias(f"full_{k}"))
+        return scratch.write(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_compare(self.percent), "a long, b long"), "links")
+
+    def stars(self) -> DataFrame:
+        """Candidate pairs: each list's first member, and the one that shares most, with all others of the list."""
+        most = [F.max_by(c, "shares").alias(f"most_{c}") for c in ("node", "n")]
+        heads = self.members.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head"), F.min_by("n", "node").alias("head_n"), *most).where("size > 1")
+        each = F.explode(F.array(F.struct(F.col("head").alias("to"), F.col("head_n").alias("m")), F.struct(F.col("most_node").alias("to"), F.col("most_n").alias("m"))))
+        pairs = self.members.join(heads, "value").select("node", "n", each.alias("x")).where((F.col("node") != F.col("x.to")) & self.fit("n", "x.m"))
+        return pairs.select(F.least("node", "x.to").alias("a"), F.greatest("node", "x.to").alias("b")).distinct()
+
+    def open_nodes(self, state: DataFrame) -> DataFrame:
+        """node, n, label of the classes with enough values in lists of several components."""
+        labelled = scratch.write(self.members.join(state, "node", "left").select("value", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
+        mixed = labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value")
+        own = labelled.join(mixed, "value", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("label").alias("label"))
+        return own.where(F.col("c") >= self.enough(F.col("n"))).select("node", "n", "label")
+
+    def entries(self, state: DataFrame) -> DataFrame:
+        """Written rows (value, node, n, label, ahead, cap): the values by which a class can be alike to one of another component.
+
+        ahead: how many values of its own the class can share from this one on; cap: the size of the largest set it can be
+        alike to if they share none before.
         """
-        low = F.least(F.lit(self.retained), F.col("n"))
-        # sets that are whole in their sketches, and all sets of fitting size as well, have an exact estimate
-        share = F.when(100 * F.col("n") <= self.percent * self.retained, F.floor((self.percent * F.col("n") + 99) / 100)).otherwise(F.ceil(low * self.least - 1e-6))
-        own = Window.partitionBy("node")
-        ranked = held.select("value", "node", "n", F.greatest(share, F.lit(1)).alias("need"), F.row_number().over(own.orderBy(F.desc("size"), F.desc("value"))).alias("ahead"))
-        return ranked.where(F.col("ahead") >= F.col("need"))
-
-    def third_round(self, held: DataFrame, state: DataFrame) -> DataFrame:
-        """Candidate pairs: all of different components that share one of their rarest values and can share enough from it on."""
-        rows = scratch.write(self._labelled(self.rarest(held), state, "node", "label"), "rarest")
+        full = self.sets.join(scratch.write(self.open_nodes(state), "nodes"), "node").select("node", "n", "label", F.explode("full").alias("value"))
+        mixed = full.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value", "size")
+        held = full.join(mixed, "value")
+        ahead = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), F.desc("value")))
+        cap = F.floor(F.col("ahead") * (100 + self.percent) / self.percent + 1e-9) - F.col("n")
+        ranked = held.select("value", "node", "n", "label", ahead.alias("ahead")).where(F.col("ahead") >= _least(F.col("n"), self.percent))
+        rows = scratch.write(ranked.withColumn("cap", cap), "ranked")
+        sizes = rows.groupBy("value").agg(F.min("n").alias("least"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value", "least")
+        return scratch.write(rows.join(sizes, "value").where("cap >= least").drop("least"), "entries")
+
+    def across(self, state: DataFrame) -> DataFrame:
+        """Candidate pairs: all of different components that can be alike."""
+        rows = self.entries(state)
         each = rows.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c"))
-        lists = each.groupBy("value").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("main")).where("size > main.c")
+        lists = each.groupBy("value").agg(F.sum("c").alias("size"), F.max("c").alias("main_c"), F.max_by("label", "c").alias("main")).where("size > main_c")
         # of two members of different components one at least is outside the list's main component
         blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-        dealt = rows.join(lists.select("value", F.col("main.label").alias("main"), blocks(F.col("size") - F.col("main.c")).alias("across"), blocks(F.col("size")).alias("down")), "value")
+        dealt = rows.join(lists.select("value", "main", blocks(F.col("size") - F.col("main_c")).alias("across"), blocks(F.col("size")).alias("down")), "value")
         dealt = dealt.withColumn("other", F.col("label") != F.col("main")).withColumn("h", F.xxhash64("node", "value"))
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        left = dealt.where("other").select("value", F.pmod("h", "across").cast("int").alias("x"), every("down").alias("y"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("need").alias("need_a"), F.col("ahead").alias("ahead_a"))
-        right = dealt.select("value", every("across").alias("x"), F.pmod("h", "down").cast("int").alias("y"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"), F.col("need").alias("need_b"), F.col("ahead").alias("ahead_b"), "other")
-        met = left.join(right, ["value", "x", "y"]).where((F.col("l_a") != F.col("l_b")) & (~F.col("other") | (F.col("a") < F.col("b"))) & self.sizes_fit("n_a", "n_b") & (F.least("ahead_a", "ahead_b") >= F.greatest("need_a", "need_b")))
+        named = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("n", "label", "cap")]
+        left = dealt.where("other").select("value", F.pmod("h", "across").cast("int").alias("x"), every("down").alias("y"), F.col("node").alias("a"), *named("a"))
+        right = dealt.select("value", every("across").alias("x"), F.pmod("h", "down").cast("int").alias("y"), F.col("node").alias("b"), "other", *named("b"))
+        able = (F.col("n_b") <= F.col("cap_a")) & (F.col("n_a") <= F.col("cap_b")) & self.fit("n_a", "n_b")
+        met = left.join(right, ["value", "x", "y"]).where((F.col("label_a") != F.col("label_b")) & (~F.col("other") | (F.col("a") < F.col("b"))) & able)
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, retained: int = RETAINED, first: int = FIRST, short: int = SHORT) -> DataFrame:
+def joined(state: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label after more links: components of components."""
+    at = lambda k: state.select(F.col("node").alias(k), F.col("label").alias(f"l_{k}"))
+    named = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")).distinct()
+    over = components(scratch.write(named, "joins")).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    old = state.join(over, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    return old.union(over.join(state, F.col("old") == F.col("node"), "left_anti").select("old", "new"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
     """The id, n_shingles, component_id (smallest id of the component) and kept of each row."""
-    finder = Finder(docs, id_col, text, n, similarity, retained, first, short)
-    lists, links = finder.first_round()
-    state = components(links)
-    held = finder.opened(lists, state)
-    for candidates in (finder.second_round, finder.third_round):
-        more = finder.verified(candidates(held, state))
-        if more.limit(1).count():
-            links = links.union(more)
-            state = components(links)
-    labelled = finder.nodes.select("node", "given").join(state, "node", "left").select("node", "given", F.coalesce("label", "node").alias("label"))
+    finder = Finder(docs, id_col, text, n, round(similarity * 100))
+    state = scratch.write(components(finder.verified(finder.stars())), "state")
+    more = finder.verified(finder.across(state))
+    if more.limit(1).count():
+        state = scratch.write(joined(state, more), "state")
+    for t in (finder.members, finder.sets):
+        scratch.drop(t)
+    labelled = finder.nodes.select("node", "key", "given").join(state, "node", "left").select("key", "given", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("given").alias("component_id"))
-    of_node = labelled.join(smallest, "label").select(F.col("node").alias("key"), "component_id")
-    rows = finder.rows.select("given", "n_shingles", "node").join(of_node, F.col("node") == F.col("key"), "left")
-    component = F.when(F.col("node").isNull(), F.col("given")).otherwise(F.col("component_id"))
+    of_key = labelled.join(smallest, "label").select(F.col("key").alias("_key"), "component_id")
+    rows = finder.rows.select("given", "n_shingles", "key").join(of_key, F.col("key") == F.col("_key"), "left")
+    component = F.when(F.col("key").isNull(), F.col("given")).otherwise(F.col("component_id"))
     return rows.select(F.col("given").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("given") == component, F.lit(False)).alias("kept"))

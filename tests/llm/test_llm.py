@@ -314,8 +314,7 @@ def groups(rows, n, percent):
     return sets, [find(k) for k in range(len(rows))]
 
 
-@pytest.mark.parametrize("short", [1, 32])
-def test_components(spark, short):
+def test_components(spark):
     rows = list(enumerate(some_texts(4, 80)))
     base_text = " ".join(f"w{k}" for k in range(90)).split(" ")
     for k in range(40):  # a chain: neighbours are alike, the ends are not
@@ -323,7 +322,7 @@ def test_components(spark, short):
         w[: k * 2] = [f"v{x}" for x in range(k * 2)]
         rows.append((len(rows), " ".join(w)))
     sets, want = groups(rows, 4, 80)
-    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=4, short=short).collect()}
+    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=4).collect()}
     for k, _ in rows:
         assert (got[k].n_shingles, got[k].component_id, got[k].kept) == (len(sets[k]), want[k], want[k] == k)
 
@@ -340,7 +339,7 @@ def test_copies_of_one_text(spark):
         rows.append((k, " ".join(w)))
     sets, want = groups(rows, 4, 80)
     assert len(set(want)) == 1 and 100 * len(sets[0] & sets[1]) < 80 * len(sets[0] | sets[1])
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=4, short=8).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=4).collect()
     assert {x.component_id for x in got} == {0}
 
 
