@@ -6,7 +6,7 @@ long and short texts compare; scores are sums of fixed-point integers and do not
 
 Scale: one scan counts (a task sends at most one row per bucket), one scan scores; no text is shuffled. The trusted model
 is fitted on at most `max_trusted` labelled rows (those with the smallest hashes of their ids); the raw model and the
-decisions cover every row.
+decisions cover every row. Ids of any type are compared by a 64-bit hash of their text.
 
 Defined cases: a null text counts as empty; a text without words has score 0 and fails the base rule; a null label is not
 trusted; a repeated row or id is counted and scored as often as it stands; without trusted rows every score is 0; an empty
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.words import Texts, U, grams, mix, pieces, sums
+from quire.llm.words import Texts, U, block_hashes, grams, lean, mix, pieces, sums
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.08
@@ -78,7 +78,7 @@ def _dup_lines(t: Texts) -> np.ndarray:
     words = np.searchsorted(t.starts, end) - np.searchsorted(t.starts, start)
     keep = words > 0
     start, end, owner = start[keep], end[keep], owner[keep]
-    key = mix(t.hashes(start, end) + mix(owner.astype(U)))
+    key = mix(block_hashes(t.data, start, end) + mix(owner.astype(U)))
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     return np.bincount(owner[order[1:]][same], minlength=t.n)
@@ -111,11 +111,11 @@ def _counts(id_col: str, text: str, trusted, buckets: int):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", trusted: str = "quality = 1 and toxic = 0", buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> np.ndarray:
     """Fixed-point log ratio of each bucket. Ids of trusted rows: at most max_trusted, 8 bytes each, are broadcast."""
     spark = docs.sparkSession
-    ids = labels.where(F.expr(trusted) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("k")).distinct()
-    chosen = ids.orderBy(F.xxhash64("k"), "k").limit(max_trusted).toPandas()["k"].to_numpy(np.int64)
+    ids = labels.where(F.expr(trusted) & F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("k")).distinct()
+    chosen = ids.orderBy("k").limit(max_trusted).toPandas()["k"].to_numpy(np.int64)
     held = spark.sparkContext.broadcast(np.sort(chosen))
-    slim = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text).alias("t"))
-    rows = slim.mapInArrow(_counts("k", "t", held, buckets), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
+    slim = docs.select(F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"))).alias("k"), F.col(text).alias("t"))
+    rows = slim.mapInArrow(lean(_counts("k", "t", held, buckets)), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     raw, good = np.zeros(buckets), np.zeros(buckets)
     raw[rows["bucket"].to_numpy(np.int64)] = rows["raw"]
     good[rows["bucket"].to_numpy(np.int64)] = rows["good"]
@@ -168,5 +168,5 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     names = ["given", *[x.split()[0] for x in SCHEMA.split(", ")]]
     schema = StructType([source.schema["given"], *[StructField(f.name, f.dataType) for f in StructType.fromDDL(SCHEMA)]])
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(lean(run), schema)
     return out.select(*[F.col(f"given.`{c}`") for c in given], *names[1:])

@@ -1,18 +1,24 @@
 """Word positions and substring hashes of many texts at once, over their UTF-8 bytes.
 
-A batch of texts is one byte array with offsets. Hashes are 64-bit polynomial prefix hashes over random byte values, so
-the hash of any substring is two lookups and depends on its bytes alone, not on where in a batch it stands.
+A batch of texts is one byte array with offsets. Words and lines have 64-bit hashes of their bytes in blocks of eight, each
+mixed before the next is added; these stand where equality decides a result. `hashes` are polynomial prefix hashes, two
+look-ups for any substring; some regular strings of a thousand bytes and more share one, so these only propose candidates.
+Either depends on the bytes alone, not on where in a batch they stand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+Batches = Iterator[pa.RecordBatch]
 CHUNK = 2 << 20
+LONG = 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -26,6 +32,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def block_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges, eight bytes at a time; of long ranges by BLAKE2."""
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    n = (end - start).astype(np.int64)
+    h = mix(n.astype(U) + U(0x2545F4914F6CDD1D))
+    far = n > LONG
+    for k in np.flatnonzero(far).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    live, done = np.flatnonzero((n > 0) & ~far), 0
+    while len(live):
+        left = n[live] - done
+        word = np.ascontiguousarray(eight[start[live] + done]).view("<u8").ravel()
+        word &= np.where(left < 8, (U(1) << (U(8) * np.minimum(left, 7).astype(U))) - U(1), U(0xFFFFFFFFFFFFFFFF))
+        h[live] = mix(h[live] * U(0xA0761D6478BD642F) + mix(word + U(0xE7037ED1A0B428DB)))
+        done += 8
+        live = live[left > 8]
+    return h
+
+
 _VALUES = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -48,6 +73,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0][:asked], made[1][:asked]
 
 
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, which gives its task's memory back at the end: workers live on, and allocators would keep it for them."""
+
+    def out(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return out
+
+
 def pieces(batch: pa.RecordBatch, text: str, chunk: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with about chunk bytes of text each; a longer text has a range of its own."""
     off = offsets(batch.column(text))[1]
@@ -101,7 +139,7 @@ class Texts:
         self.count = self.last - self.first
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the byte ranges."""
+        """64-bit polynomial hashes of the byte ranges."""
         up, down = _powers(len(self.data) + 1)
         if self._hash is None:
             h = np.zeros(len(self.data) + 1, U)
@@ -110,7 +148,7 @@ class Texts:
         return mix((self._hash[end] - self._hash[start]) * down[start] + (end - start).astype(U))
 
     def word_hashes(self) -> np.ndarray:
-        return self.hashes(self.starts, self.ends)
+        return block_hashes(self.data, self.starts, self.ends)
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
