@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from quire.llm import scratch
-from quire.llm.words import Texts, U, grams, mix, pieces
+from quire.llm.words import Texts, U, grams, lean, mix, pieces
 
 RETAINED = 64
 SLACK = 8.0
@@ -100,7 +100,7 @@ def sketches(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("given"), part.column("look"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.binary()), _lists(low)], names=schema.names)
 
     schema = StructType([slim.schema["given"], *StructType.fromDDL("look long, n_shingles long, key binary, low array<long>").fields])
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(lean(run), schema)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, n: in
                 own = [k for k, (x, s) in enumerate(zip(part.column("key").to_pylist(), sets)) if _key(s) == x]
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(own, pa.int64())), _lists([sets[k] for k in own])], names=["node", "full"])
 
-    return rows.mapInArrow(run, "node long, full array<long>").groupBy("node").agg(F.first("full").alias("full"))
+    return rows.mapInArrow(lean(run), "node long, full array<long>").groupBy("node").agg(F.first("full").alias("full"))
 
 
 def _compare(percent: int):
@@ -205,7 +205,7 @@ class Finder:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are alike, written."""
         side = lambda k: self.sets.select(F.col("node").alias(k), F.col("full").alias(f"full_{k}"))
-        return scratch.write(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_compare(self.percent), "a long, b long"), "links")
+        return scratch.write(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(_compare(self.percent)), "a long, b long"), "links")
 
     def stars(self) -> DataFrame:
         """Candidate pairs: each list's first member, and the one that shares most, with all others of the list."""
@@ -218,7 +218,8 @@ class Finder:
     def open_nodes(self, state: DataFrame) -> DataFrame:
         """node, n, label of the classes with enough values in lists of several components."""
         labelled = scratch.write(self.members.join(state, "node", "left").select("value", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
-        mixed = labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value")
+        # written, as Spark can only split a hot value's rows where both sides of the join are dealt for it
+        mixed = scratch.write(labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value"), "mixed")
         own = labelled.join(mixed, "value", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("label").alias("label"))
         return own.where(F.col("c") >= self.enough(F.col("n"))).select("node", "n", "label")
 
@@ -229,7 +230,7 @@ class Finder:
         alike to if they share none before.
         """
         full = self.sets.join(scratch.write(self.open_nodes(state), "nodes"), "node").select("node", "n", "label", F.explode("full").alias("value"))
-        mixed = full.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value", "size")
+        mixed = scratch.write(full.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value", "size"), "mixed")
         held = full.join(mixed, "value")
         ahead = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), F.desc("value")))
         cap = F.floor(F.col("ahead") * (100 + self.percent) / self.percent + 1e-9) - F.col("n")
