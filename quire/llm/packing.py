@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from quire.llm import scratch
-from quire.llm.ranks import ranked
+from quire.llm.ranks import BUCKETS, ranked
+from quire.llm.words import lean
 
 CAPACITY = 4096
 END = 1
-MEMO = 900_000
+MEMO = 400_000
+ROWS_A_BUCKET = 100_000
 
 
 class Capacities:
@@ -200,7 +202,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column("given").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=["given", "piece", "start", "length", "ids"])
 
     schema = StructType([slim.schema["given"], *StructType.fromDDL("piece int, start long, length long, ids binary").fields])
-    return slim.mapInArrow(run, schema).withColumnRenamed("given", id_col)
+    return slim.mapInArrow(lean(run), schema).withColumnRenamed("given", id_col)
 
 
 def place(table: DataFrame, order: list[str], length: str = "length", capacity: int = CAPACITY) -> DataFrame:
@@ -212,7 +214,7 @@ def place(table: DataFrame, order: list[str], length: str = "length", capacity:
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     shift = 48
     held = spark.sparkContext.broadcast((rows[:, 0] << shift | rows[:, 1], rows))
-    by_rank = ranked(table.withColumnRenamed(length, "_length"), ["_length"], order, "_rank")
+    by_rank = ranked(table.withColumnRenamed(length, "_length"), ["_length"], order, "_rank", max(BUCKETS, max(counts.values(), default=0) // ROWS_A_BUCKET))
 
     def run(batches):
         keys, rows = held.value
