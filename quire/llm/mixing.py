@@ -8,7 +8,8 @@ A rate follows from the posteriors and the steps' gradients alone, so no rates a
 
 Tokens are words (maximal runs of characters other than white space). Scale: two scans of the texts, then aggregates over
 (tokens, posteriors); nothing is shuffled but sums. The classifier's sample has at most `max_labelled` rows (those with the
-smallest hashes of their ids), which are broadcast.
+smallest hashes of their ids), which are broadcast; it is halved by the hash as well. Ids of any type are compared by a
+64-bit hash of their text.
 
 Defined cases: a null or empty text has no tokens and the posteriors of a text without evidence; rows with a null id or
 label are no examples; repeated rows count as often as they stand; without labels all posteriors are equal; an empty table
@@ -27,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from quire.llm import scratch
 from quire.llm.quality import features
-from quire.llm.words import Texts, pieces, sums
+from quire.llm.words import Texts, lean, pieces, sums
 
 BUCKETS = 1 << 13
 MAX_LABELLED = 50_000
@@ -41,10 +42,10 @@ WEIGHTS = {"good": 0.82, "poor": 0.10, "toxic": 0.08}
 
 
 def _sample(labels: DataFrame, id_col: str, domains: dict[str, str], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in order, and the number of each one's domain. An id with two labels counts with the first domain."""
+    """Hashes of ids in order, and the number of each one's domain. An id with two labels counts with the first domain."""
     number = reduce(lambda c, kv: c.when(F.expr(kv[1]), kv[0]), list(enumerate(domains.values()))[1:], F.when(F.expr(next(iter(domains.values()))), 0))
-    rows = labels.select(F.col(id_col).cast("long").alias("k"), number.cast("int").alias("c")).where("k is not null and c is not null").groupBy("k").agg(F.min("c").alias("c"))
-    got = rows.orderBy(F.xxhash64("k"), "k").limit(most).toPandas().sort_values("k")
+    rows = labels.where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("k"), number.cast("int").alias("c")).where("c is not null").groupBy("k").agg(F.min("c").alias("c"))
+    got = rows.orderBy("k").limit(most).toPandas().sort_values("k")
     return got["k"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
 
 
@@ -78,7 +79,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     spark, k = docs.sparkSession, len(domains)
     ids, classes = _sample(labels, id_col, domains, max_labelled)
     held = spark.sparkContext.broadcast((ids, classes))
-    slim = docs.select(F.struct(*[F.col(c) for c in (keep or [id_col])]).alias("given"), F.col(id_col).cast("long").alias("key"), F.col(text).alias("body"))
+    slim = docs.select(F.struct(*[F.col(c) for c in (keep or [id_col])]).alias("given"), F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"))).alias("key"), F.col(text).alias("body"))
 
     def count(batches):
         ids, classes = held.value
@@ -98,7 +99,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(b), pa.array(n[c, b])], names=["c", "b", "n"])
 
     table = np.ones((k, buckets))
-    for r in slim.select("key", "body").mapInArrow(count, "c long, b long, n long").groupBy("c", "b").agg(F.sum("n").alias("n")).toPandas().itertuples():
+    for r in slim.select("key", "body").mapInArrow(lean(count), "c long, b long, n long").groupBy("c", "b").agg(F.sum("n").alias("n")).toPandas().itertuples():
         table[r.c, r.b] += r.n
     logs = np.log(table / table.sum(1, keepdims=True))
     model = spark.sparkContext.broadcast(np.rint((logs - logs.mean(0)) * FIXED).astype(np.int64))
@@ -120,7 +121,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([batch.column("given").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(own[a:b]), pa.array(t.count), rows], names=["given", "key", "domain", "n_tokens", "score"])
 
     schema = StructType([slim.schema["given"], *StructType.fromDDL("key long, domain long, n_tokens long, score array<double>").fields])
-    scored = scratch.write(slim.mapInArrow(score, schema), "scores")
+    scored = scratch.write(slim.mapInArrow(lean(score), schema), "scores")
     # at most max_labelled rows, but for repeated ids, which are taken once
     other = scored.where("domain >= 0 and key % 2 <> 0").groupBy("key").agg(F.min("domain").alias("domain"), F.min("score").alias("score")).toPandas().sort_values("key")
     x = np.array(other["score"].tolist(), float).reshape(-1, k)
@@ -187,6 +188,17 @@ def rates(members: DataFrame, weights: list[float], total: float | None = None,
     return members.mapInArrow(rated, schema), reached.tolist()
 
 
+def totals(mixed: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """domain, tokens, reached: expected tokens of each domain before the mix and with the rates found.
+
+    Steps are bounded and targets may be out of reach of the bounds: this says how near the mix comes to them.
+    """
+    names = names or list(DOMAINS)
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("domain"), F.col("posterior").alias("p"))).alias("x")
+    parts = mixed.select("n_tokens", "rate", each).select(F.col("x.domain").alias("domain"), (F.col("x.p") * F.col("n_tokens")).alias("t"), "rate")
+    return parts.groupBy("domain").agg(F.sum("t").alias("tokens"), F.sum(F.col("t") * F.col("rate")).alias("reached"))
+
+
 def copies(seed: list[str]):
     """How often a document is in the mix: its rate rounded up or down by a fixed hash of the columns."""
     u = F.pmod(F.xxhash64(*seed), F.lit(1 << 20)) / float(1 << 20)
