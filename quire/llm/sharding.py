@@ -4,16 +4,17 @@ Documents that share a link (here: equal texts) are neighbours. All neighbours o
 same, so they move as one block: the state is a table (link, shard, documents), never a list of pairs. In each round every
 link looks for its strongest blocks in shards that have room (one, or as many as its size needs; documents without links give
 way at no cost); its weaker blocks ask to move there; a shard admits requests up to its quota, in a fixed pseudo-random order, blocks being split where the
-quota ends. Rounds end when nothing moves.
+quota ends. Rounds end when nothing moves, or after `rounds` of them; `cut_edges` tells what is left between shards.
 
 Then documents take the places of their link's blocks, at most a shard's quota of them, and all others fill up the shards:
 counts differ by one at most (the law `rows`).
 
 Scale: rounds work on blocks, at most 40 a link; places are found by ranks.ranked, so no link, however large, and no shard is
-ever in one task. The driver holds one number per shard.
+ever in one task. The driver holds one number per shard. Links here are cliques, so a link's sum over its blocks is all that a
+document's neighbours say: rounds join links with their blocks, not documents with each neighbour.
 
 Defined cases: null texts are like empty ones and linked with them; null or repeated ids are rows like others (each gets a
-place); ties are broken by hashes; fewer rows than shards leave shards empty; an empty table gives no rows.
+place; rows with equal ids and texts may change places with each other); how the rows are partitioned changes nothing; ties are broken by hashes; fewer rows than shards leave shards empty; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from quire.llm.ranks import ranked
 SHARDS = 40
 ROUNDS = 8
 BUCKETS = 256
+ROWS_A_BUCKET = 100_000
 
 
 def _by_shard(values: list[int], shard: Column) -> Column:
@@ -92,9 +94,10 @@ def propagate(links: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
 
 
 def place(rows: DataFrame, order: list[str], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """rows (written, with column link; order tells rows apart) with shard and slot."""
+    """rows (written, with column link; order tells rows apart, or they are alike) with shard and slot."""
     counts = rows.groupBy("link").agg(F.count(F.lit(1)).alias("n"))
     total = rows.count()
+    buckets = max(512, total // ROWS_A_BUCKET)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     blocks = propagate(counts.where("n > 1"), quota, rounds)
     first = Window.partitionBy("link").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,9 +105,9 @@ def place(rows: DataFrame, order: list[str], shards: int = SHARDS, rounds: int =
     ranges = scratch.write(ranges, "ranges")
     # of a link's ranges the last that starts at or before a document's place
     mine = F.element_at(F.filter("ranges", lambda r: r["start"] <= F.col("_place")), -1)["shard"]
-    tried = ranked(rows, ["link"], order, "_place").join(ranges, "link", "left").withColumn("_to", F.when(F.col("ranges").isNotNull(), mine)).drop("ranges", "_place")
+    tried = ranked(rows, ["link"], order, "_place", buckets).join(ranges, "link", "left").withColumn("_to", F.when(F.col("ranges").isNotNull(), mine)).drop("ranges", "_place")
     tried = scratch.write(tried, "tried")
-    linked = scratch.write(ranked(tried.where("_to is not null"), ["_to"], order, "_place"), "linked")
+    linked = scratch.write(ranked(tried.where("_to is not null"), ["_to"], order, "_place", buckets), "linked")
     full = _by_shard(quota, F.col("_to"))
     kept = linked.where(F.col("_place") < full)
     held = [0] * shards
@@ -115,14 +118,23 @@ def place(rows: DataFrame, order: list[str], shards: int = SHARDS, rounds: int =
     starts = [e - (q - h) for e, q, h in zip(ends, quota, held)]
     # the shard whose free places hold a row's rank: as many shards as end at or before it precede
     shard = F.size(F.filter(F.array(*[F.lit(e) for e in ends]).cast("array<long>"), lambda e: e <= F.col("_place")))
-    filled = ranked(rest, ["_all"], order, "_place").withColumn("shard", shard).withColumn("slot", F.col("_place") - _by_shard(starts, F.col("shard")) + _by_shard(held, F.col("shard")))
+    filled = ranked(rest, ["_all"], order, "_place", buckets).withColumn("shard", shard).withColumn("slot", F.col("_place") - _by_shard(starts, F.col("shard")) + _by_shard(held, F.col("shard")))
     own = [c for c in rows.columns]
     return kept.select(*own, F.col("_to").alias("shard"), F.col("_place").cast("long").alias("slot")).union(filled.select(*own, F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")))
 
 
+def cut_edges(placed: DataFrame, link: str = "text_crc32") -> DataFrame:
+    """One row: edges between documents of one link, and those of them whose ends are in different shards."""
+    pairs = lambda n: n * (n - 1) / 2
+    of_shard = placed.groupBy(link, "shard").agg(F.count(F.lit(1)).alias("n"))
+    of_link = of_shard.groupBy(link).agg(F.sum("n").alias("n"), F.sum(pairs(F.col("n"))).alias("inside"))
+    sums = of_link.agg(F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0.0)).alias("edges"), F.coalesce(F.sum("inside"), F.lit(0.0)).alias("inside"))
+    return sums.select(F.col("edges").cast("long").alias("edges"), (F.col("edges") - F.col("inside")).cast("long").alias("cut"))
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """The id, size (bytes of the text and 16), text_crc32, law, shard, slot and grown_shard (null under this law) of each row."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("given"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("link"), F.monotonically_increasing_id().alias("row"))
-    placed = place(scratch.write(rows, "rows"), ["given", "row"], shards, rounds)
+    rows = docs.select(F.col(id_col).alias("given"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("link"))
+    placed = place(scratch.write(rows, "rows"), ["given", "link"], shards, rounds)
     return placed.select(F.col("given").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
