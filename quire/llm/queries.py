@@ -61,7 +61,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 @query
