@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder the session names; one of our own only where it names none (a single machine, as in tests)."""
+    """The shared folder the session names; one of our own only where it names none on a single machine, as in tests."""
     at = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set(SETTING, at)
     return at.rstrip("/")

@@ -6,16 +6,18 @@
    stay; the windows of the others are repeated as a whole. This is done in each batch of texts first, so a passage that
    stands everywhere is sent once a batch.
 3. What is left with an anchor are different segments. Two of them have a window in common only if they agree on half of the
-   bytes beside the anchor, left or right; those that agree so are fetched as bytes and dealt by anchor again.
+   bytes beside the anchor, left or right; those that agree so are fetched as bytes and dealt by anchor again, or, where an
+   anchor has many, by the anchor and the bytes they agree on.
 4. Blocks of such segments get a suffix array by two-stage sorting: suffixes smaller than their successors are sorted
    directly, all others are induced by scanning the buckets of first bytes. Common prefixes of neighbours of `width` bytes or
    more make runs of equal windows; the smallest id of a run keeps its window, the others lose theirs.
 5. Spans are merged per document, judged on the input, and cut out.
 
 Scale: two exchanges, one of about a byte per byte of text (packed segments), one of the texts with their spans. Nothing is
-collected. Anchors and contents are compared by hashes of 48 and 40 bits within 16 bits of the deal; windows by bytes.
+collected. Segments are equal if the 64-bit hashes of their bytes are, within 48 bits of their anchor's: a byte is cut wrongly
+with a chance of 2^-64 for each pair of different segments of one anchor. All other windows are compared by bytes.
 
-Defined cases: null texts count as empty and lose nothing; a text shorter than the width loses nothing; a null id counts as
+Defined cases: ids are integers; null texts count as empty and lose nothing; a text shorter than the width loses nothing; a null id counts as
 larger than all others; rows with the same id never remove each other's bytes; an empty table gives no rows; other columns
 are not read.
 """
@@ -29,15 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from quire.llm import scratch
-from quire.llm.words import Texts, U, mix, offsets, pieces
+from quire.llm.words import Texts, U, block_hashes, lean, mix, offsets, pieces
 
 WIDTH = 50
 K = 24
 CHUNK = 4 << 20
 BLOCK = 1 << 20
+MANY = 512
 LAST = (1 << 63) - 1
 
-ENTRY = np.dtype([("anchor", "V6"), ("content", "V5"), ("left", "<u2"), ("right", "<u2"), ("row", "<u2"), ("at", "<u4"), ("n", "u1")])
+ENTRY = np.dtype([("anchor", "<u4"), ("content", "<u8"), ("left", "<u2"), ("right", "<u2"), ("row", "<u2"), ("at", "<u4"), ("n", "u1")])
 
 
 # two-stage sorting
@@ -174,19 +177,6 @@ def segments(t: Texts) -> tuple[np.ndarray, ...]:
     return s, stop - s, at[s]
 
 
-def _bytes(x: np.ndarray, n: int) -> np.ndarray:
-    """The low n bytes of each number."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).view(f"V{n}").ravel()
-
-
-def _number(x: np.ndarray) -> np.ndarray:
-    """Numbers of packed bytes."""
-    n = x.dtype.itemsize
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, :n] = np.ascontiguousarray(x).view(np.uint8).reshape(-1, n)
-    return out.view("<u8").ravel()
-
-
 def _split(keys: np.ndarray) -> list[np.ndarray]:
     """Positions by key, in order of the keys."""
     if not len(keys):
@@ -206,7 +196,7 @@ def _deal(parts: int):
         start, n, anchor = segments(t)
         row = np.searchsorted(t.off, start, "right") - 1
         end = start + n - 1 + WIDTH
-        h, content = t.hashes(anchor, anchor + K), t.hashes(start, end)
+        h, content = t.hashes(anchor, anchor + K), block_hashes(t.data, start, end)
         half = (WIDTH - K) // 2
         left, right = anchor - start >= half, end - anchor - K >= half
         a = np.where(left, anchor - half, anchor)
@@ -227,7 +217,7 @@ def _deal(parts: int):
         keep = np.flatnonzero(~late)
         packed = np.zeros(len(keep), ENTRY)
         k = h[keep]
-        packed["anchor"], packed["content"] = _bytes(k >> U(16), 6), _bytes(content[keep], 5)
+        packed["anchor"], packed["content"] = k >> U(32), content[keep]
         packed["left"], packed["right"] = side(left, a, anchor)[keep], side(right, anchor + K, b)[keep]
         packed["row"], packed["at"], packed["n"] = row[keep], (start - t.off[row])[keep], n[keep]
         table = docs.tobytes()
@@ -262,6 +252,22 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([s[at, 0], reach[np.append(at[1:] - 1, len(s) - 1)]], 1).astype(np.int64)
 
 
+def _dealt_again(key: np.ndarray, e: np.ndarray, alike: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose bytes are to be compared, and the key by which each is dealt; alike: by the left bytes, by the right ones.
+
+    A row goes by its anchor; one of an anchor with many such rows goes by each side that it shares, so they part.
+    """
+    some = np.flatnonzero(alike[0] | alike[1])
+    _, group, size = np.unique(key[some], return_inverse=True, return_counts=True)
+    many = size[group] > MANY
+    where, keys = [some[~many]], [key[some[~many]]]
+    for k, (side, met) in enumerate(zip(("left", "right"), alike)):
+        own = some[many & met[some]]
+        where.append(own)
+        keys.append(mix(key[own] ^ mix(e[side][own].astype(U) | U(k + 1) << U(16))))
+    return np.concatenate(where), np.concatenate(keys)
+
+
 SETTLED = "doc long, print long, kind int, body binary"
 
 
@@ -275,7 +281,7 @@ def _settle(batches):
                 found.append((int(d[0, 0]), int(d[0, 1]), SPANS, body))
             else:
                 e = np.frombuffer(body, ENTRY)
-                bodies.append((np.full(len(e), part, U) << U(48) | _number(e["anchor"]), e))
+                bodies.append((np.full(len(e), part, U) << U(32) | e["anchor"].astype(U), e))
                 docs.append(d[e["row"]])
         if len(found) >= 5000:
             yield settled(found)
@@ -292,7 +298,7 @@ def _settle(batches):
         several[1:] |= same
         at = order[several]
         key, e, doc = key[at], e[at], doc[at]
-        content = _number(e["content"])
+        content = np.ascontiguousarray(e["content"])
         order = np.lexsort((doc[:, 0], content, key))
         key, e, doc, content = key[order], e[order], doc[order], content[order]
         new = np.ones(len(key), bool)
@@ -301,8 +307,8 @@ def _settle(batches):
         late = doc[:, 0] > least
         start = e["at"].astype(np.int64)
         spans = np.stack([start, start + e["n"] - 1 + WIDTH], 1)
-        alike = np.zeros(len(key), bool)
-        for side in ("left", "right"):
+        alike = [np.zeros(len(key), bool) for _ in range(2)]
+        for side, met_by in zip(("left", "right"), alike):
             own = np.flatnonzero((e[side] > 0) & ~late)
             by = own[np.lexsort((content[own], e[side][own], key[own]))]
             met = (key[by][1:] == key[by][:-1]) & (e[side][by][1:] == e[side][by][:-1])
@@ -311,13 +317,13 @@ def _settle(batches):
             if len(by):
                 first = np.flatnonzero(head)
                 last = np.append(first[1:] - 1, len(by) - 1)
-                alike[by] |= (content[by][first] != content[by][last])[group]
+                met_by[by] = (content[by][first] != content[by][last])[group]
         number = np.unique(doc, axis=0, return_inverse=True)[1].ravel() if len(doc) else np.zeros(0, np.int64)
-        for which, kind in ((late, SPANS), (alike & ~late, OPEN)):
-            where = np.flatnonzero(which)
-            for own in _split(number[where]):
-                own = where[own]
-                body = merged(spans[own]) if kind == SPANS else np.column_stack([key[own].view(np.int64), spans[own]])
+        where, keys = _dealt_again(key, e, alike)
+        for at, kind in ((np.flatnonzero(late), SPANS), (where, OPEN)):
+            for some in _split(number[at]):
+                own = at[some]
+                body = merged(spans[own]) if kind == SPANS else np.column_stack([keys[some].view(np.int64), spans[own]])
                 found.append((int(doc[own[0], 0]), int(doc[own[0], 1]), kind, np.ascontiguousarray(body).tobytes()))
                 if len(found) >= 5000:
                     yield settled(found)
@@ -381,11 +387,11 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     parts = min(16 * n, 32_768)
     known = docs.select(F.col(id_col).alias("given"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     marked = known.withColumn("print", F.xxhash64("body"))
-    dealt = marked.select("doc", "print", "body").mapInArrow(_deal(parts), MESSAGE).repartition(n, "part")
-    first = scratch.write(dealt.mapInArrow(_settle, SETTLED), "settled")
+    dealt = marked.select("doc", "print", "body").mapInArrow(lean(_deal(parts)), MESSAGE).repartition(n, "part")
+    first = scratch.write(dealt.mapInArrow(lean(_settle), SETTLED), "settled")
     wanted = first.where(F.col("kind") == OPEN).groupBy("doc", "print").agg(F.collect_list("body").alias("wanted"))
-    fetched = marked.select("doc", "print", "body").join(wanted, ["doc", "print"]).mapInArrow(_fetch, FETCHED)
-    compared = fetched.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare, SETTLED)
+    fetched = marked.select("doc", "print", "body").join(wanted, ["doc", "print"]).mapInArrow(lean(_fetch), FETCHED)
+    compared = fetched.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(lean(_compare), SETTLED)
     spans = first.where(F.col("kind") == SPANS).select("doc", "print", F.col("body").alias("spans")).union(compared.select("doc", "print", "body"))
     spans = scratch.write(spans, "spans").groupBy("doc", "print").agg(F.collect_list("spans").alias("spans"))
     rows = marked.join(spans, ["doc", "print"], "left").select("given", "body", "spans")
