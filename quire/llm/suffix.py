@@ -38,6 +38,7 @@ K = 24
 CHUNK = 4 << 20
 BLOCK = 1 << 20
 MANY = 512
+SETTLE = 12 << 20
 LAST = (1 << 63) - 1
 
 ENTRY = np.dtype([("anchor", "<u4"), ("content", "<u8"), ("left", "<u2"), ("right", "<u2"), ("row", "<u2"), ("at", "<u4"), ("n", "u1")])
@@ -272,62 +273,75 @@ SETTLED = "doc long, print long, kind int, body binary"
 
 
 def _settle(batches):
-    """From packed segments to spans, and to the segments whose bytes are to be compared."""
-    found, bodies, docs = [], [], []
+    """From packed segments, those of a part together, to spans, and to the segments whose bytes are to be compared."""
+    found, bodies, docs, size, last = [], [], [], 0, None
     for batch in batches:
-        for part, kind, d, body in zip(*[batch.column(c).to_pylist() for c in ("part", "kind", "docs", "body")]):
-            d = np.frombuffer(d, np.int64).reshape(-1, 2)
-            if kind == SPANS:
-                found.append((int(d[0, 0]), int(d[0, 1]), SPANS, body))
-            else:
+        for a in range(0, batch.num_rows, 256):
+            rows = batch.slice(a, 256)
+            for part, kind, d, body in zip(*[rows.column(c).to_pylist() for c in ("part", "kind", "docs", "body")]):
+                d = np.frombuffer(d, np.int64).reshape(-1, 2)
+                if kind == SPANS:
+                    found.append((int(d[0, 0]), int(d[0, 1]), SPANS, body))
+                    continue
+                if size >= SETTLE and part != last:
+                    yield from _settle_parts(bodies, docs)
+                    bodies, docs, size = [], [], 0
                 e = np.frombuffer(body, ENTRY)
                 bodies.append((np.full(len(e), part, U) << U(32) | e["anchor"].astype(U), e))
                 docs.append(d[e["row"]])
+                size, last = size + len(body), part
         if len(found) >= 5000:
             yield settled(found)
             found = []
+    yield settled(found)
     if bodies:
-        key = np.concatenate([b[0] for b in bodies])
-        e = np.concatenate([b[1] for b in bodies])
-        doc = np.concatenate(docs)
-        del bodies, docs
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        several = np.zeros(len(order), bool)
-        several[:-1] |= same
-        several[1:] |= same
-        at = order[several]
-        key, e, doc = key[at], e[at], doc[at]
-        content = np.ascontiguousarray(e["content"])
-        order = np.lexsort((doc[:, 0], content, key))
-        key, e, doc, content = key[order], e[order], doc[order], content[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-        least = doc[:, 0][new][np.cumsum(new) - 1] if len(key) else doc[:, 0]
-        late = doc[:, 0] > least
-        start = e["at"].astype(np.int64)
-        spans = np.stack([start, start + e["n"] - 1 + WIDTH], 1)
-        alike = [np.zeros(len(key), bool) for _ in range(2)]
-        for side, met_by in zip(("left", "right"), alike):
-            own = np.flatnonzero((e[side] > 0) & ~late)
-            by = own[np.lexsort((content[own], e[side][own], key[own]))]
-            met = (key[by][1:] == key[by][:-1]) & (e[side][by][1:] == e[side][by][:-1])
-            head = np.concatenate([[True], ~met]) if len(by) else np.zeros(0, bool)
-            group = np.cumsum(head) - 1
-            if len(by):
-                first = np.flatnonzero(head)
-                last = np.append(first[1:] - 1, len(by) - 1)
-                met_by[by] = (content[by][first] != content[by][last])[group]
-        number = np.unique(doc, axis=0, return_inverse=True)[1].ravel() if len(doc) else np.zeros(0, np.int64)
-        where, keys = _dealt_again(key, e, alike)
-        for at, kind in ((np.flatnonzero(late), SPANS), (where, OPEN)):
-            for some in _split(number[at]):
-                own = at[some]
-                body = merged(spans[own]) if kind == SPANS else np.column_stack([keys[some].view(np.int64), spans[own]])
-                found.append((int(doc[own[0], 0]), int(doc[own[0], 1]), kind, np.ascontiguousarray(body).tobytes()))
-                if len(found) >= 5000:
-                    yield settled(found)
-                    found = []
+        yield from _settle_parts(bodies, docs)
+
+
+def _settle_parts(bodies: list, docs: list):
+    """What _settle gives for whole parts: keys with entries, and the documents of the entries."""
+    found = []
+    key = np.concatenate([b[0] for b in bodies])
+    e = np.concatenate([b[1] for b in bodies])
+    doc = np.concatenate(docs)
+    del bodies, docs
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    several = np.zeros(len(order), bool)
+    several[:-1] |= same
+    several[1:] |= same
+    at = order[several]
+    key, e, doc = key[at], e[at], doc[at]
+    content = np.ascontiguousarray(e["content"])
+    order = np.lexsort((doc[:, 0], content, key))
+    key, e, doc, content = key[order], e[order], doc[order], content[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+    least = doc[:, 0][new][np.cumsum(new) - 1] if len(key) else doc[:, 0]
+    late = doc[:, 0] > least
+    start = e["at"].astype(np.int64)
+    spans = np.stack([start, start + e["n"] - 1 + WIDTH], 1)
+    alike = [np.zeros(len(key), bool) for _ in range(2)]
+    for side, met_by in zip(("left", "right"), alike):
+        own = np.flatnonzero((e[side] > 0) & ~late)
+        by = own[np.lexsort((content[own], e[side][own], key[own]))]
+        met = (key[by][1:] == key[by][:-1]) & (e[side][by][1:] == e[side][by][:-1])
+        head = np.concatenate([[True], ~met]) if len(by) else np.zeros(0, bool)
+        group = np.cumsum(head) - 1
+        if len(by):
+            first = np.flatnonzero(head)
+            last = np.append(first[1:] - 1, len(by) - 1)
+            met_by[by] = (content[by][first] != content[by][last])[group]
+    number = np.unique(doc, axis=0, return_inverse=True)[1].ravel() if len(doc) else np.zeros(0, np.int64)
+    where, keys = _dealt_again(key, e, alike)
+    for at, kind in ((np.flatnonzero(late), SPANS), (where, OPEN)):
+        for some in _split(number[at]):
+            own = at[some]
+            body = merged(spans[own]) if kind == SPANS else np.column_stack([keys[some].view(np.int64), spans[own]])
+            found.append((int(doc[own[0], 0]), int(doc[own[0], 1]), kind, np.ascontiguousarray(body).tobytes()))
+            if len(found) >= 5000:
+                yield settled(found)
+                found = []
     yield settled(found)
 
 
@@ -387,7 +401,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     parts = min(16 * n, 32_768)
     known = docs.select(F.col(id_col).alias("given"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     marked = known.withColumn("print", F.xxhash64("body"))
-    dealt = marked.select("doc", "print", "body").mapInArrow(lean(_deal(parts)), MESSAGE).repartition(n, "part")
+    dealt = marked.select("doc", "print", "body").mapInArrow(lean(_deal(parts)), MESSAGE).repartition(n, "part").sortWithinPartitions("part")
     first = scratch.write(dealt.mapInArrow(lean(_settle), SETTLED), "settled")
     wanted = first.where(F.col("kind") == OPEN).groupBy("doc", "print").agg(F.collect_list("body").alias("wanted"))
     fetched = marked.select("doc", "print", "body").join(wanted, ["doc", "print"]).mapInArrow(lean(_fetch), FETCHED)
