@@ -37,22 +37,27 @@ def reconcile(r: DataFrame) -> DataFrame:
     """verdict, text, conf and n_alternatives of three engines' readings t0 c0 t1 c1 t2 c2, in this order."""
     t = [F.col(f"t{k}") for k in range(3)]
     c = [F.col(f"c{k}") for k in range(3)]
-    d = [T.despace(x) for x in t]
     false = lambda x: F.coalesce(x, F.lit(False))
-    blank = lambda x: F.length(T.strip(x)) == 0
-    there = [t[1].isNotNull(), t[2].isNotNull()]
-    confirmed = false(d[1] == d[0]) | false(d[2] == d[0])
-    corrected = there[0] & there[1] & false(d[1] == d[2]) & false(~blank(t[1]))
+    same = lambda a, b: false((a == b) | (T.despace(a) == T.despace(b)))  # noqa: E731  texts that are equal need no pattern
+    filled = lambda x: false(F.length(T.despace(x)) > 0)
+    own = r.columns
+    confirmed, corrected, numeric = F.col("_confirmed"), F.col("_corrected"), F.col("_numeric")
+    # one projection for each decision: a later one costs nothing where an earlier one holds
+    a = r.select("*", same(t[1], t[0]).alias("_s1"), same(t[2], t[0]).alias("_s2"))
+    a = a.select("*", (F.col("_s1") | F.col("_s2")).alias("_confirmed"))
+    a = a.select("*", (~confirmed & false(t[1].isNotNull() & t[2].isNotNull()) & same(t[1], t[2]) & filled(t[1])).alias("_corrected"))
+    undecided = ~confirmed & ~corrected
     ok = [false(T.number_format(F.replace(x, F.lit(" "), F.lit("")))) for x in t]
-    numeric = false(T.numeric_like(t[0])) & ~ok[0] & (ok[1] | ok[2])
-    second = ok[1] & (~ok[2] | (c[1] >= c[2]))
-    differs = [false((d[k] != d[0]) & ~blank(t[k])) for k in (1, 2)]
-    verdict = F.when(confirmed, "confirmed").when(corrected, "corrected").when(numeric, "numeric_context").when(differs[0] | differs[1], "disagreement").otherwise("single")
+    a = a.select("*", *[(undecided & ok[k]).alias(f"_f{k}") for k in (1, 2)], *[(false(t[k].isNotNull()) & ~F.col(f"_s{k}") & filled(t[k])).cast("long").alias(f"_d{k}") for k in (1, 2)])
+    a = a.select("*", ((F.col("_f1") | F.col("_f2")) & false(T.numeric_like(t[0])) & ~ok[0]).alias("_numeric"))
+    second = F.col("_f1") & (~F.col("_f2") | (c[1] >= c[2]))
+    others = F.col("_d1") + F.col("_d2")
+    verdict = F.when(confirmed, "confirmed").when(corrected, "corrected").when(numeric, "numeric_context").when(others > 0, "disagreement").otherwise("single")
     text = F.when(confirmed, t[0]).when(corrected, t[1]).when(numeric, F.when(second, t[1]).otherwise(t[2])).otherwise(t[0])
     conf = F.when(confirmed, c[0]).when(corrected, F.least(c[1], c[2])).when(numeric, F.when(second, c[1]).otherwise(c[2])).otherwise(c[0])
-    others = differs[0].cast("long") + differs[1].cast("long")
-    alternatives = F.when(~confirmed & corrected, F.lit(1).cast("long")).when(~confirmed & numeric, F.lit(1) + there[0].cast("long") + there[1].cast("long") - 1).otherwise(others)
-    return r.withColumn("verdict", verdict).withColumn("text", text).withColumn("conf", conf).withColumn("n_alternatives", alternatives)
+    there = t[1].isNotNull().cast("long") + t[2].isNotNull().cast("long")
+    alternatives = F.when(corrected, F.lit(1).cast("long")).when(numeric, there).otherwise(others)
+    return a.select(*own, verdict.alias("verdict"), text.alias("text"), conf.alias("conf"), alternatives.alias("n_alternatives"))
 
 
 def raised_confidence(verdict: Column, own: Column, best: Column, chosen: Column) -> Column:
@@ -73,6 +78,26 @@ def word_flags(words: DataFrame, lines: DataFrame, readings: DataFrame | None =
     return out
 
 
+DISPUTED = ("disagreement", "corrected", "numeric_context")
+
+
+def flagged_lines(marked: DataFrame) -> DataFrame:
+    """doc_id, line_no, n_words, words (numbers in order) and flags (type, word_no) of each line: word_flags in one shuffle.
+
+    marked: words with conf_pct and, where engines were compared, verdict.
+    """
+    c, t = F.col("conf_pct"), F.col("word")
+    number = T.confusable(t) & (c < AMBIGUOUS) & T.numeric_like(t)
+    disputed = F.col("verdict").isin(*DISPUTED) if "verdict" in marked.columns else F.lit(False)
+    each = F.struct("word_no", (c < WORD_LOW).alias("weak"), number.alias("number"), disputed.alias("disputed"))
+    lines = marked.select("doc_id", "line_no", "conf_pct", each.alias("w")).groupBy("doc_id", "line_no").agg(F.sum("conf_pct").alias("conf_sum"), F.count(F.lit(1)).alias("n_words"), F.array_sort(F.collect_list("w")).alias("ws"))
+    flag = lambda kind, no: F.struct(F.lit(kind).alias("type"), no.alias("word_no"))
+    of = lambda kind, field: F.transform(F.filter("ws", lambda w: F.coalesce(w[field], F.lit(False))), lambda w: flag(kind, w["word_no"]))
+    low = F.when(F.col("conf_sum") < LINE_LOW * F.col("n_words"), F.array(flag("low_confidence", F.lit(None).cast("long")))).otherwise(of("low_confidence", "weak"))
+    flags = F.concat(low, of("ambiguous_number", "number"), of("engine_disagreement", "disputed"))
+    return lines.select("doc_id", "line_no", "n_words", F.transform("ws", lambda w: w["word_no"]).alias("words"), flags.alias("flags"))
+
+
 def first_flags(flags: DataFrame, order: list[str]) -> DataFrame:
     """The first flag of each line and type."""
     w = Window.partitionBy("doc_id", "line_no", "type").orderBy(*order)

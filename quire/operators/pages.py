@@ -21,7 +21,7 @@ def mime(head: Column) -> Column:
     starts = lambda s: F.startswith(head, code(s))
     ftyp = at(4, 4) == code("ftyp")
     return (
-        F.when(F.contains(head, code("%PDF")), "application/pdf").when(starts("\xff\xd8\xff"), "image/jpeg").when(starts("\x89PNG\r\n\x1a\n"), "image/png")
+        F.when(head.rlike("^(?:..)*?" + "%PDF".encode().hex()), "application/pdf").when(starts("\xff\xd8\xff"), "image/jpeg").when(starts("\x89PNG\r\n\x1a\n"), "image/png")
         .when(ftyp & at(8, 4).isin([b.encode().hex().upper() for b in HEIC]), "image/heic").when(ftyp & (at(8, 4) == code("avif")), "image/avif")
         .when(starts("RIFF") & (at(8, 4) == code("WEBP")), "image/webp").when(starts("II*\x00") | starts("MM\x00*"), "image/tiff").when(starts("BM"), "image/bmp")
     )

@@ -41,8 +41,10 @@ def _cells(spark, d):
 def detections_anti_barcode(spark, d):
     """Boxes that lie to at most 0.4 in a bar."""
     w = _boxed(words(spark, d)).select("doc_id", "line_no", "word_no", "a")
-    hit = spatial.overlap_join(w, _bars(spark, d), ["doc_id"]).where(G.meet(F.col("a"), F.col("b")) * 10 > G.area(F.col("a")) * 4).select("doc_id", "line_no", "word_no")
-    return w.join(hit, ["doc_id", "line_no", "word_no"], "left_anti").select("doc_id", "line_no", "word_no")
+    # a page has few bars: they come to its words as one array
+    bars = _bars(spark, d).groupBy("doc_id").agg(F.collect_list("b").alias("bars"))
+    hit = F.exists("bars", lambda b: G.meet(F.col("a"), b) * 10 > G.area(F.col("a")) * 4)
+    return w.join(bars, "doc_id", "left").where(~F.coalesce(hit, F.lit(False))).select("doc_id", "line_no", "word_no")
 
 
 @query(WORDS_SQL + CELLS + " SELECT w.doc_id, line_no, word_no, r, c FROM words w LEFT JOIN cells ON w.doc_id = cells.doc_id AND x0 + x1 >= 2 * cx0 AND x0 + x1 < 2 * cx1 AND y0 + y1 >= 2 * cy0 AND y0 + y1 < 2 * cy1")
@@ -50,10 +52,8 @@ def word_to_cell(spark, d):
     """The first cell, in row and column order, that holds a word's centre; null without one."""
     w = words(spark, d)
     mid = F.floor((F.col("x0") + F.col("x1")) / 2), F.floor((F.col("y0") + F.col("y1")) / 2)
-    point = w.select("doc_id", "line_no", "word_no", G.box(mid[0], mid[1], mid[0] + 1, mid[1] + 1).alias("a"))
-    pairs = spatial.overlap_join(point, _cells(spark, d), ["doc_id"])
-    best = spatial.first_match(pairs, ["doc_id", "line_no", "word_no"], [F.col("r"), F.col("c")]).select("doc_id", "line_no", "word_no", "r", "c")
-    return point.drop("a").join(best, ["doc_id", "line_no", "word_no"], "left")
+    point = w.select("doc_id", "line_no", "word_no", mid[0].alias("px"), mid[1].alias("py"))
+    return spatial.first_container(point, _cells(spark, d), ["doc_id"], "px", "py", ["r", "c"]).select("doc_id", "line_no", "word_no", "r", "c")
 
 
 CELLED = WORDS_SQL + CELLS + """, wc AS (SELECT w.*, r, c FROM words w LEFT JOIN cells ON w.doc_id = cells.doc_id AND x0 + x1 >= 2 * cx0 AND x0 + x1 < 2 * cx1 AND y0 + y1 >= 2 * cy0 AND y0 + y1 < 2 * cy1)"""
@@ -77,19 +77,19 @@ def cell_border_words(spark, d):
     return w.where(inside * 20 < (F.col("x1") - F.col("x0")) * 17).select("doc_id", "line_no", "word_no", "r", "c")
 
 
-# words of a line, widened so that some overlap
-WIDE = ", wide AS (SELECT doc_id, line_no, word_no, x0 - (doc_id + word_no) % 5 * 12 AS x0, y0, x1 + (doc_id + word_no) % 5 * 12 AS x1, y1 FROM words)"
+# words, widened and made higher so that some overlap
+WIDE = ", wide AS (SELECT doc_id, line_no, word_no, x0 - (doc_id + word_no) % 5 * 12 AS x0, y0, x1 + (doc_id + word_no) % 5 * 12 AS x1, y1 + (doc_id + word_no) % 3 * 10 AS y1 FROM words)"
 
 
-@query(WORDS_SQL + WIDE + ", p AS (SELECT a.doc_id, a.line_no, a.word_no AS i, b.word_no AS j, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) AS m, least(a.x1 - a.x0, b.x1 - b.x0) AS w FROM wide a JOIN wide b USING (doc_id, line_no) WHERE a.word_no < b.word_no) SELECT doc_id, line_no, i, j FROM p WHERE m * 100 > 35 * w")
+@query(WORDS_SQL + WIDE + ", below AS (SELECT *, line_no - k AS at, k FROM wide, (VALUES (0), (1)) v(k)), p AS (SELECT a.doc_id, a.line_no, a.word_no AS i, b.line_no AS line_b, b.word_no AS j, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS m, least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS w FROM wide a JOIN below b ON a.doc_id = b.doc_id AND a.line_no = b.at WHERE b.k = 1 OR a.word_no < b.word_no) SELECT doc_id, line_no, i, line_b, j FROM p WHERE m * 100 > 35 * w")
 def flag_overlap_pairs(spark, d):
     """Pairs of boxes of a page of which one lies to more than 0.35 in the other."""
     grown = (F.col("doc_id") + F.col("word_no")) % 5 * 12
-    w = words(spark, d).select("doc_id", "line_no", "word_no", G.box(F.col("x0") - grown, F.col("y0"), F.col("x1") + grown, F.col("y1")).alias("a"))
+    w = words(spark, d).select("doc_id", "line_no", "word_no", G.box(F.col("x0") - grown, F.col("y0"), F.col("x1") + grown, F.col("y1") + (F.col("doc_id") + F.col("word_no")) % 3 * 10).alias("a"))
     other = w.select("doc_id", F.col("line_no").alias("line_b"), F.col("word_no").alias("j"), F.col("a").alias("b"))
-    pairs = spatial.overlap_join(w.withColumnRenamed("word_no", "i"), other, ["doc_id"]).where((F.col("line_no") == F.col("line_b")) & (F.col("i") < F.col("j")))
+    pairs = spatial.overlap_join(w.withColumnRenamed("word_no", "i"), other, ["doc_id"], cell=64).where((F.col("line_no") < F.col("line_b")) | (F.col("line_no") == F.col("line_b")) & (F.col("i") < F.col("j")))
     least = F.least(G.area(F.col("a")), G.area(F.col("b")))
-    return pairs.where(G.meet(F.col("a"), F.col("b")) * 100 > least * 35).select("doc_id", "line_no", "i", "j")
+    return pairs.where(G.meet(F.col("a"), F.col("b")) * 100 > least * 35).select("doc_id", "line_no", "i", "line_b", "j")
 
 
 @query(LINES_SQL + ", p AS (SELECT doc_id, line_no, x0, y0, x1, y1, x0 + line_no % 7 * 10 AS qx0, y0 + 5 AS qy0, x1 + line_no % 7 * 10 AS qx1, y1 + 5 AS qy1 FROM lines) SELECT doc_id, line_no, (greatest(least(x1, qx1) - greatest(x0, qx0), 0) * 13) / greatest((x1 - x0) * 18, 1) AS part, (x0 < qx1 AND qx0 < x1) AS meets, 13 / 18 AS beside FROM p")

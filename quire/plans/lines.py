@@ -77,9 +77,12 @@ flags AS (SELECT doc_id, line_no, 'low_confidence' AS type, NULL::BIGINT AS word
  UNION ALL SELECT doc_id, line_no, 'engine_disagreement', word_no FROM chosen WHERE verdict IN ('disagreement', 'corrected', 'numeric_context'))"""
 
 
+def _flagged(spark, d):
+    return L.flagged_lines(L.reconcile(readings(words(spark, d), ["word", "conf_pct"])))
+
+
 def _flags(spark, d):
-    w = words(spark, d)
-    return L.word_flags(w, L.lines(w), readings(w))
+    return _flagged(spark, d).select("doc_id", "line_no", F.inline("flags"))
 
 
 @query(FLAGS_SQL + " SELECT type, count(*) AS n, count(DISTINCT doc_id) AS docs, count(word_no) AS words FROM flags GROUP BY type")
@@ -96,26 +99,25 @@ def flag_dedupe(spark, d):
 REVIEW = ",\nsettled AS (SELECT doc_id, line_no, CASE WHEN line_no % 10 = 0 THEN 'corrected' ELSE 'accepted' END AS status FROM lines WHERE line_no % 5 = 0)"
 
 
-def _settled(lines):
-    return lines.where("line_no % 5 = 0").select("doc_id", "line_no", F.when(F.col("line_no") % 10 == 0, "corrected").otherwise("accepted").alias("status"))
+def _status():
+    return F.when(F.col("line_no") % 5 == 0, F.when(F.col("line_no") % 10 == 0, "corrected").otherwise("accepted"))
 
 
 @query(FLAGS_SQL + REVIEW + ", open AS (SELECT * FROM flags WHERE NOT EXISTS (SELECT 1 FROM settled s WHERE s.doc_id = flags.doc_id AND s.line_no = flags.line_no)) SELECT doc_id, line_no, type, w.word_no FROM (SELECT doc_id, line_no, type, min(word_no) AS word_no FROM open GROUP BY ALL) o JOIN words w USING (doc_id, line_no) WHERE o.word_no IS NULL OR o.word_no = w.word_no")
 def review_queue(spark, d):
     """Open items with the words they mark, all of the line's where none is named."""
-    w = words(spark, d)
-    lines = L.lines(w)
-    items = L.first_flags(L.word_flags(w, lines, readings(w)), ["word_no"]).join(_settled(lines), ["doc_id", "line_no"], "left_anti").withColumnRenamed("word_no", "named")
-    marked = items.join(w.select("doc_id", "line_no", "word_no"), ["doc_id", "line_no"])
-    return marked.where(F.col("named").isNull() | (F.col("named") == F.col("word_no"))).select("doc_id", "line_no", "type", "word_no")
+    lines = _flagged(spark, d).withColumn("status", _status()).where("status is null and size(flags) > 0")
+    # a type's first flag, in the order of its word, none before all
+    first = F.transform(F.array_distinct(F.transform("flags", lambda f: f["type"])), lambda t: F.struct(t.alias("type"), F.array_min(F.transform(F.filter("flags", lambda f: f["type"] == t), lambda f: F.coalesce(f["word_no"], F.lit(-1)))).alias("named")))
+    items = lines.select("doc_id", "line_no", "words", F.inline(first))
+    marked = F.when(F.col("named") < 0, F.col("words")).otherwise(F.array("named"))
+    return items.select("doc_id", "line_no", "type", F.explode(marked).alias("word_no"))
 
 
 @query(FLAGS_SQL + REVIEW + " SELECT doc_id, count(*) AS items, count_if(s.status IS NULL)::BIGINT AS open_items FROM (SELECT DISTINCT doc_id, line_no, type FROM flags) f LEFT JOIN settled s USING (doc_id, line_no) GROUP BY doc_id")
 def review_counts(spark, d):
     """A19."""
-    w = words(spark, d)
-    lines = L.lines(w)
-    items = L.word_flags(w, lines, readings(w)).select("doc_id", "line_no", "type").distinct().join(_settled(lines), ["doc_id", "line_no"], "left")
+    items = _flagged(spark, d).select("doc_id", _status().alias("status"), F.explode(F.array_distinct(F.transform("flags", lambda f: f["type"]))))
     return items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("status").isNull()).alias("open_items"))
 
 
@@ -141,26 +143,36 @@ truth AS (SELECT doc_id, line_no, word_no AS gt_no, word AS gt, x0, y0, x1, y1,
 pred AS (SELECT w.doc_id, w.line_no, w.word_no AS pred_no, t1 AS text, c1 AS conf, w.x0 + w.word_no % 3 * 4 AS px0, w.y0 AS py0, w.x1 + w.word_no % 3 * 4 AS px1, w.y1 AS py1 FROM words w JOIN readings USING (doc_id, line_no, word_no) WHERE (w.doc_id + w.word_no) % 11 <> 0 AND t1 IS NOT NULL),
 cand AS (SELECT *, (greatest(least(x1, px1) - greatest(x0, px0), 0) * 18) AS inter FROM truth JOIN pred USING (doc_id, line_no) WHERE px0 < x1 AND x0 < px1),
 scored AS (SELECT *, inter / ((x1 - x0) * 18 + (px1 - px0) * 18 - inter) AS iou FROM cand),
-best AS (SELECT * FROM scored WHERE iou > 0.3 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no, gt_no ORDER BY iou DESC, pred_no) = 1),
-result AS (SELECT t.doc_id, t.line_no, t.gt_no, t.gt, t.field, b.text AS pred, b.iou, b.conf, coalesce(b.text = t.gt, false) AS text_ok, b.pred_no IS NOT NULL AS found FROM truth t LEFT JOIN best b USING (doc_id, line_no, gt_no))"""
+ranked AS (SELECT *, max(iou) OVER (PARTITION BY doc_id, line_no, gt_no) AS most FROM scored),
+best AS (SELECT *, CASE WHEN iou > 0.3 THEN iou ELSE 0.31::DOUBLE END AS used FROM ranked WHERE iou > 0.3 OR most <= 0.3 AND text = gt AND px0 + px1 BETWEEN 2 * x0 AND 2 * x1 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no, gt_no ORDER BY CASE WHEN iou > 0.3 THEN iou ELSE 0 END DESC, pred_no) = 1),
+result AS (SELECT t.doc_id, t.line_no, t.gt_no, t.gt, t.field, b.text AS pred, b.used AS iou, b.conf, coalesce(trim(b.text, '.,:;') = trim(t.gt, '.,:;'), false) AS text_ok, b.pred_no IS NOT NULL AS found FROM truth t LEFT JOIN best b USING (doc_id, line_no, gt_no))"""
 
 
 def _evaluated(spark, d):
-    """Each truth word with its best prediction by IoU, the first of equal ones."""
-    from quire.functions import geometry as G
-    from quire.operators.spatial import first_match
+    """Each truth word with its best prediction by IoU, the first of equal ones.
 
-    w = words(spark, d)
-    truth = w.select("doc_id", "line_no", F.col("word_no").alias("gt_no"), F.col("word").alias("gt"), G.box("x0", "y0", "x1", "y1").alias("a"), F.concat(F.lit("f"), (F.length("word") % 5).cast("string")).alias("field"))
+    Where none overlaps enough, the first counts whose centre lies in the truth's box and whose text is equal. Both sides lie in
+    their line, so a line's words and readings meet as arrays of one row.
+    """
+    w = readings(words(spark, d), ["word", "x0", "x1"])
     shift = F.col("word_no") % 3 * 4
-    moved = w.select("doc_id", "line_no", "word_no", G.box(F.col("x0") + shift, F.col("y0"), F.col("x1") + shift, F.col("y1")).alias("b"))
-    pred = moved.join(readings(w).select("doc_id", "line_no", "word_no", "t1", "c1"), ["doc_id", "line_no", "word_no"]).where(((F.col("doc_id") + F.col("word_no")) % 11 != 0) & F.col("t1").isNotNull())
-    pred = pred.select("doc_id", "line_no", F.col("word_no").alias("pred_no"), F.col("t1").alias("pred"), F.col("c1").alias("conf"), "b")
-    # both sides lie in their line, so the line is the grid
-    pairs = truth.join(pred, ["doc_id", "line_no"]).where(G.intersects(F.col("a"), F.col("b"))).withColumn("iou", G.iou(F.col("a"), F.col("b"))).where("iou > 0.3")
-    best = first_match(pairs, ["doc_id", "line_no", "gt_no"], [F.desc("iou"), F.col("pred_no")]).select("doc_id", "line_no", "gt_no", "pred", "iou", "conf", "pred_no")
-    out = truth.drop("a").join(best, ["doc_id", "line_no", "gt_no"], "left")
-    return out.withColumn("text_ok", F.coalesce(F.col("pred") == F.col("gt"), F.lit(False))).withColumn("found", F.col("pred_no").isNotNull())
+    there = ((F.col("doc_id") + F.col("word_no")) % 11 != 0) & F.col("t1").isNotNull()
+    pred = F.when(there, F.struct((-F.col("word_no")).alias("order"), F.col("t1").alias("text"), F.col("c1").alias("conf"), (F.col("x0") + shift).alias("x0"), (F.col("x1") + shift).alias("x1")))
+    lines = w.select("doc_id", "line_no", F.struct("word_no", "word", "x0", "x1").alias("t"), pred.alias("p")).groupBy("doc_id", "line_no").agg(F.collect_list("t").alias("ts"), F.collect_list("p").alias("ps"))
+
+    def scored(t, p):
+        inter = F.least(t["x1"], p["x1"]) - F.greatest(t["x0"], p["x0"])
+        return F.struct((inter * 18 / ((t["x1"] - t["x0"]) * 18 + (p["x1"] - p["x0"]) * 18 - inter * 18)).alias("iou"), p["order"].alias("order"), p["text"].alias("text"), p["conf"].alias("conf"), (p["x0"] + p["x1"]).alias("mid"))
+
+    t = F.col("t")
+    near = lines.select("doc_id", "line_no", F.explode("ts").alias("t"), "ps").select("doc_id", "line_no", "t", F.transform(F.filter("ps", lambda p: (p["x0"] < t["x1"]) & (t["x0"] < p["x1"])), lambda p: scored(t, p)).alias("near"))
+    top = near.select("doc_id", "line_no", "t", "near", F.array_max("near").alias("top"))
+    inside = F.array_max(F.transform(F.filter("near", lambda p: (p["text"] == t["word"]) & p["mid"].between(t["x0"] * 2, t["x1"] * 2)), lambda p: F.struct(p["order"].alias("order"), F.lit(0.31).cast("double").alias("iou"), p["text"].alias("text"), p["conf"].alias("conf"))))
+    found = top.withColumn("other", F.when(F.col("top.iou") <= 0.3, inside))
+    pick = lambda c: F.when(F.col("top.iou") > 0.3, F.col(f"top.{c}")).otherwise(F.col(f"other.{c}"))
+    out = found.select("doc_id", "line_no", t["word_no"].alias("gt_no"), t["word"].alias("gt"), F.concat(F.lit("f"), (F.length(t["word"]) % 5).cast("string")).alias("field"), pick("text").alias("pred"), pick("iou").alias("iou"), pick("conf").alias("conf"), (-pick("order")).alias("pred_no"))
+    bare = lambda c: F.btrim(F.col(c), F.lit(".,:;"))
+    return out.withColumn("text_ok", F.coalesce(bare("pred") == bare("gt"), F.lit(False))).withColumn("found", F.col("pred_no").isNotNull())
 
 
 @query(EVAL_SQL + " SELECT doc_id, line_no, gt_no, gt, pred, iou, text_ok FROM result")

@@ -11,7 +11,7 @@ from quire.sources.bridge import table
 
 HEADS = ("255044462D312E37", "FFD8FFE000104A46", "89504E470D0A1A0A00", "000000186674797068656963", "000000206674797061766966", "52494646AAAAAAAA57454250", "49492A0008000000", "4D4D002A00000008", "424D36000000", "6E6F7465733A")
 HEADS_SQL = "h AS (SELECT page_id, length(html) * 9000 AS n, [" + ", ".join(f"'{h}'" for h in HEADS) + "][1 + page_id % 10] AS head FROM pages)"
-MIME_SQL = """m AS (SELECT *, CASE WHEN contains(head, '25504446') THEN 'application/pdf' WHEN starts_with(head, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with(head, '89504E470D0A1A0A') THEN 'image/png'
+MIME_SQL = """m AS (SELECT *, CASE WHEN regexp_matches(head, '^(?:..)*?25504446') THEN 'application/pdf' WHEN starts_with(head, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with(head, '89504E470D0A1A0A') THEN 'image/png'
  WHEN substr(head, 9, 8) = '66747970' AND substr(head, 17, 8) IN ('68656963', '68656978', '68657663', '68657678', '6D696631', '6D736631', '6865696D', '68656973') THEN 'image/heic' WHEN substr(head, 9, 8) = '66747970' AND substr(head, 17, 8) = '61766966' THEN 'image/avif'
  WHEN starts_with(head, '52494646') AND substr(head, 17, 8) = '57454250' THEN 'image/webp' WHEN starts_with(head, '49492A00') OR starts_with(head, '4D4D002A') THEN 'image/tiff' WHEN starts_with(head, '424D') THEN 'image/bmp' END AS mime FROM h)"""
 

@@ -9,6 +9,7 @@ from quire.functions import geometry as G
 from quire.operators import lines as L
 from quire.operators import spatial
 from quire.plans.catalog import query
+from quire.plans.edits import EDITS, _edits
 from quire.plans.layout import BARS, _bars, _boxed
 from quire.plans.lines import LINES_SQL
 from quire.sources.bridge import WORDS_SQL, table, words
@@ -79,10 +80,11 @@ def length_batches(spark, d):
     return L.lines(words(spark, d)).select("doc_id", "line_no", F.floor(k / 8).alias("batch"))
 
 
-@query(WORDS_SQL + " SELECT doc_id, line_no, word_no, x0 + s AS x0, x1 + s AS x1, y0, y1, s > 0 AS moved FROM words, (VALUES (0), (1)) v(k), LATERAL (SELECT k * (10 + word_no % 3 * 5) AS s) WHERE (doc_id + line_no) % 8 = 0")
+@query(WORDS_SQL + EDITS + ", touched AS (SELECT DISTINCT doc_id, line_no FROM edits WHERE NOT disabled) SELECT doc_id, line_no, word_no, x0 + s AS x0, x1 + s AS x1, y0, y1, s > 0 AS moved FROM words JOIN touched USING (doc_id, line_no), (VALUES (0), (1)) v(k), LATERAL (SELECT k * (10 + word_no % 3 * 5) AS s)")
 def moved_words(spark, d):
-    """Words of changed lines at their old and new places."""
-    w = words(spark, d).where((F.col("doc_id") + F.col("line_no")) % 8 == 0)
+    """Words of the lines that edits change, at their old and new places."""
+    w = words(spark, d)
+    w = w.join(_edits(w).where("not disabled").select("doc_id", "line_no").distinct(), ["doc_id", "line_no"])
     s = w.withColumn("s", F.explode(F.array(F.lit(0).cast("long"), F.col("word_no") % 3 * 5 + 10)))
     return s.select("doc_id", "line_no", "word_no", (F.col("x0") + F.col("s")).alias("x0"), (F.col("x1") + F.col("s")).alias("x1"), "y0", "y1", (F.col("s") > 0).alias("moved"))
 

@@ -62,16 +62,15 @@ def run_count(spark, d):
     return f.groupBy("user_id").agg(F.count_if(F.col("up") & ~F.coalesce("was", F.lit(False))).alias("runs"), F.count_if(F.col("was").isNotNull() & (F.col("up") != F.col("was"))).alias("transitions"))
 
 
-@query(f"""WITH {EVENTS}, o AS (SELECT user_id, event_type, (value * 100)::BIGINT % 100 AS c, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS step FROM e),
+@query(f"""WITH {EVENTS}, o AS (SELECT user_id, event_type, event_id * 37 % 100 AS c, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS step FROM e),
 g AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY step) AS was FROM o),
 r AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM g)
-SELECT user_id, run, any_value(event_type) AS event_type, count(*) AS n, min(step)::BIGINT AS at FROM r WHERE event_type <> 'view' GROUP BY ALL""")
+SELECT user_id, run, any_value(event_type) AS event_type, max(c) AS conf, min(step)::BIGINT AS at FROM r WHERE event_type <> 'view' GROUP BY ALL""")
 def ctc_collapse(spark, d):
-    """Runs of equal symbols, the blank ('view') left out."""
+    """Runs of equal symbols with their most confidence, the blank ('view') left out."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    o = _events(spark, d).select("user_id", "event_type", F.row_number().over(w).cast("long").alias("step"), F.lit(1).alias("c"))
-    marked = S.split_at(o.withColumn("was", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("step"))), ["user_id"], ["step"], F.col("was").isNull() | (F.col("was") != F.col("event_type")), "run")
-    return marked.where("event_type <> 'view'").groupBy("user_id", "run").agg(F.first("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min("step").alias("at"))
+    o = _events(spark, d).select("user_id", "event_type", F.row_number().over(w).cast("long").alias("step"), (F.col("event_id") * 37 % 100).alias("conf"))
+    return S.collapse_runs(o, ["user_id"], "step", "event_type", "conf", "view")
 
 
 @query(WORDS_SQL + """, k AS (SELECT doc_id, line_no, word_no, CASE WHEN (doc_id + line_no + word_no) % 3 <> 1 THEN x0 END AS v FROM words),

@@ -16,12 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, word_no, word, x0, y0, x1, y1, conf_pct. No shuffle: offsets are sums within arrays of 12 words."""
+    """doc_id, line_no, word_no, word, x0, y0, x1, y1, conf_pct. No shuffle: an offset is the length of a line's words before it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("text_line", "line"))
-    inner = docs.select("doc_id", "text_line", F.filter(F.split("line", " "), lambda w: w != "").alias("ws")).where(F.size("ws") > 0)
+    inner = docs.withColumn("line", F.trim("line")).where("line <> ''").select("doc_id", "text_line", F.split("line", " +").alias("ws"))
     cut = F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / WRAP).cast("int"))
     lines = inner.select("doc_id", "text_line", "ws", F.explode(cut).alias("v")).select("doc_id", (F.col("text_line") * 1000 + F.col("v")).cast("long").alias("line_no"), F.slice("ws", F.col("v") * WRAP + 1, F.lit(WRAP)).alias("ws"))
-    before = lambda i: F.aggregate(F.slice("ws", F.lit(1), i), F.lit(0), lambda s, w: s + F.length(w) + 1)
+    before = lambda i: F.when(i == 0, 0).otherwise(F.length(F.array_join(F.slice("ws", F.lit(1), i), " ")) + 1)
     placed = F.transform("ws", lambda w, i: F.struct(i.cast("long").alias("word_no"), w.alias("word"), before(i).cast("long").alias("off"), F.length(w).cast("long").alias("n")))
     w = lines.select("doc_id", "line_no", F.inline(placed))
     return w.select(
@@ -39,12 +39,15 @@ wl AS (SELECT doc_id, text_line, list_filter(string_split(line, ' '), lambda w:
 wi AS (SELECT doc_id, text_line, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS k FROM wl),
 wv AS (SELECT doc_id, (text_line * 1000 + k // 12)::BIGINT AS line_no, (k % 12)::BIGINT AS word_no, word FROM wi),
 wo AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM wv),
-words AS (SELECT doc_id, line_no, word_no, word, 10 * off AS x0, 24 * line_no AS y0, 10 * (off + length(word)) AS x1, 24 * line_no + 18 AS y1,
+words AS MATERIALIZED (SELECT doc_id, line_no, word_no, word, 10 * off AS x0, 24 * line_no AS y0, 10 * (off + length(word)) AS x1, 24 * line_no + 18 AS y1,
  (doc_id * 31 + line_no * 17 + word_no * 7 + length(word)) % 100 AS conf_pct FROM wo)"""
 
 
-def readings(w: DataFrame) -> DataFrame:
-    """Three engines' texts and confidences of each word, wide: t0 c0 t1 c1 t2 c2. An absent engine has a null text."""
+def readings(w: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Three engines' texts and confidences of each word, wide: t0 c0 t1 c1 t2 c2, beside the columns to keep.
+
+    An absent engine has a null text.
+    """
     m = (F.col("doc_id") * 7 + F.col("line_no") * 5 + F.col("word_no") * 3) % 10
     n = F.length("word").cast("long")
     number = lambda c: F.concat((n * 37).cast("string"), F.lit(c), F.col("word_no").cast("string"))
@@ -52,7 +55,7 @@ def readings(w: DataFrame) -> DataFrame:
     t1 = F.when(m.isin(0, 1, 2, 4), swapped).when(m == 5, F.lit(None)).when(m == 6, number("0")).otherwise(F.col("word"))
     t2 = F.when(m.isin(0, 1), swapped).when(m.isin(3, 4), F.replace("word", F.lit("t"), F.lit(""))).when(m == 5, F.lit("")).when(m == 6, number("Q")).otherwise(F.col("word"))
     t0 = F.when(m == 6, number("O")).otherwise(F.col("word"))
-    return w.select("doc_id", "line_no", "word_no", t0.alias("t0"), F.col("conf_pct").alias("c0"), t1.alias("t1"), ((F.col("conf_pct") + 11) % 100).alias("c1"), t2.alias("t2"), ((F.col("conf_pct") + 23) % 100).alias("c2"))
+    return w.select("doc_id", "line_no", "word_no", *(keep or []), t0.alias("t0"), F.col("conf_pct").alias("c0"), t1.alias("t1"), ((F.col("conf_pct") + 11) % 100).alias("c1"), t2.alias("t2"), ((F.col("conf_pct") + 23) % 100).alias("c2"))
 
 
 READINGS_SQL = WORDS_SQL + """,
