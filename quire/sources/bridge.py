@@ -9,15 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WRAP = 12
+SPREAD_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files are small: a file of one row group is else one task's. Larger inputs have groups enough."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, word_no, word, x0, y0, x1, y1, conf_pct. No shuffle: an offset is the length of a line's words before it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("text_line", "line"))
+    """doc_id, line_no, word_no, word, x0, y0, x1, y1, conf_pct. No shuffle of words: an offset is the length of a line's words before it."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("text_line", "line"))
     inner = docs.withColumn("line", F.trim("line")).where("line <> ''").select("doc_id", "text_line", F.split("line", " +").alias("ws"))
     cut = F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / WRAP).cast("int"))
     lines = inner.select("doc_id", "text_line", "ws", F.explode(cut).alias("v")).select("doc_id", (F.col("text_line") * 1000 + F.col("v")).cast("long").alias("line_no"), F.slice("ws", F.col("v") * WRAP + 1, F.lit(WRAP)).alias("ws"))
