@@ -78,6 +78,14 @@ def project(h: list[list[float]], x: Column, y: Column) -> tuple[Column, Column]
     return row(h[0]) / row(h[2]), row(h[1]) / row(h[2])
 
 
+def quarter_turn(rot: Column, w: Column, h: Column) -> tuple[Column, Column]:
+    """The matrix (rows of a point's x, y, 1) that turns a page of w by h by rot degrees, and its size then (P20)."""
+    row = lambda *v: F.array(*[F.lit(x).cast("long") if isinstance(x, int) else x for x in v])
+    last = row(0, 0, 1)
+    m = F.when(rot == 90, F.array(row(0, -1, h - 1), row(1, 0, 0), last)).when(rot == 180, F.array(row(-1, 0, w - 1), row(0, -1, h - 1), last)).when(rot == 270, F.array(row(0, 1, 0), row(-1, 0, w - 1), last)).otherwise(F.array(row(1, 0, 0), row(0, 1, 0), last))
+    return m, F.when(rot.isin(90, 270), F.array(h, w)).otherwise(F.array(w, h))
+
+
 def fold_angle(a: Column) -> Column:
     """An angle folded to [-90, 90)."""
     return F.pmod(a + 90, F.lit(180)) - 90

@@ -1,9 +1,12 @@
 """Small cases of operators whose steps depend on order, and of functions at their edges."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as T
+from quire.operators import detections as D
 from quire.operators import kernels, segments, spatial
 from quire.operators import lines as L
 from quire.operators import pages as P
@@ -88,3 +91,79 @@ def test_mime(spark):
     heads = [b"%PDF-1.7", b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"\0\0\0\x18ftypmif1", b"RIFF1234WEBP", b"MM\0*", b"BM", b"text", b""]
     df = spark.createDataFrame([(k, h.hex().upper()) for k, h in enumerate(heads)], "k int, h string").select("k", P.mime(F.col("h")).alias("m")).orderBy("k")
     assert [r.m for r in df.collect()] == ["application/pdf", "image/jpeg", "image/png", "image/heic", "image/webp", "image/tiff", "image/bmp", None, None]
+
+
+BOXED = "doc_id long, ord long, x0 long, y0 long, x1 long, y1 long"
+
+
+def some_boxes(seed, n=60):
+    r = random.Random(seed)
+    out = []
+    for k in range(n):
+        x, y = r.randrange(200), r.randrange(200)
+        out.append((1, k, x, y, x + r.randint(5, 60), y + r.randint(5, 30)))
+    return out
+
+
+def part(a, b):
+    w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+    return max(w, 0) * max(h, 0) / max((a[4] - a[2]) * (a[5] - a[3]), 1)
+
+
+def test_kernels_equal_plain_loops(spark):
+    """Unnested boxes, blocks, stacks and two scales against loops over all pairs."""
+    for seed in range(3):
+        rows = some_boxes(seed)
+        df = spark.createDataFrame(rows, BOXED)
+        kept = []
+        for a in sorted(rows, key=lambda a: (-(a[4] - a[2]) * (a[5] - a[3]), a[1])):
+            if all(part(a, b) <= 0.8 for b in kept):
+                kept.append(a)
+        assert sorted(tuple(r) for r in kernels.largest_unnested(df).collect()) == sorted(kept)
+        union = list(rows[:25])
+        for a in rows[25:]:
+            if all(part(a, b) < 0.25 and part(b, a) < 0.25 for b in union):
+                union.append(a)
+        got = D.two_scales(df.where("ord < 25"), df.where("ord >= 25"), "doc_id").collect()
+        assert {(r.scale, r.ord) for r in got} == {(int(a[1] >= 25), a[1]) for a in union}
+        block, lines = {}, sorted(rows, key=lambda a: (a[3], a[2], a[1]))
+        for k, a in enumerate(lines):
+            h = a[5] - a[3]
+            near = [b for b in lines[:k] if -0.3 * h <= a[3] - b[5] <= 0.9 * h and abs(a[2] - b[2]) < 1.5 * h and a[1] % 2 == b[1] % 2]
+            block[a[1]] = block[near[0][1]] if near else len(set(block.values()))
+        celled = df.withColumnRenamed("ord", "line_no").withColumn("cell", F.col("line_no") % 2)
+        assert {r.line_no: r.block for r in kernels.paragraphs(celled).collect()} == block
+        last, want = [], []
+        for a in sorted(rows, key=lambda a: (a[3], a[2], a[4])):
+            k = next((k for k, b in enumerate(last) if abs(a[2] - b[2]) < 40 and abs(a[4] - b[4]) < 40 and 0 < a[3] - b[3] < 80), len(last))
+            last[k : k + 1] = [a]
+            want.append((a[2], a[4], a[3], k))
+        rules = df.select("doc_id", F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), F.col("y0").cast("double").alias("y"))
+        assert sorted((r.x0, r.x1, r.y, r.stack) for r in kernels.stack_rules(rules).collect()) == sorted(want)
+
+
+def test_history(spark):
+    """Versions, undos and redos against two lists."""
+    r = random.Random(3)
+    ops = [r.choice(["undo", "redo", "undo", f"v{k}", f"w{k}"]) for k in range(120)]
+    now, undo, redo = None, [], []
+    for op in ops:
+        if op == "undo":
+            if undo:
+                redo.append(now)
+                now = undo.pop()
+        elif op == "redo":
+            if redo:
+                undo.append(now)
+                now = redo.pop()
+        else:
+            undo, now, redo = [*undo, now][-9:], op, []
+    got = D.history(spark.createDataFrame([(1, k, op) for k, op in enumerate(ops)], "p long, k long, op string"), "p", ["k"], limit=9).first()
+    assert (got.current, got.n_undo, got.n_redo) == (now, len(undo), len(redo))
+
+
+def test_types_at_whole_bytes(spark):
+    """The mark of a PDF may stand later in the first bytes, but not between two bytes."""
+    heads = ["00255044462D", "A2550444" + "6B00", "25504446"]
+    got = spark.createDataFrame([(k, h) for k, h in enumerate(heads)], "k int, h string").select("k", P.mime(F.col("h")).alias("m")).orderBy("k").collect()
+    assert [r.m for r in got] == ["application/pdf", None, "application/pdf"]
