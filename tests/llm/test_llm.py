@@ -569,6 +569,97 @@ def test_keys(spark):
     assert one == again != two and pii.session_key(spark) != pii.session_key(spark)
 
 
+# equality, ids and partitions
+
+
+def thue_morse(n):
+    """Two strings of n characters that every polynomial hash modulo a power of two takes for one."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_unequal_texts_stay_unequal(spark, labels):
+    a, b = thue_morse(4096)
+    docs = spark.createDataFrame([(1, f"{a[:2048]} x\n{b[:2048]} x"), (2, f"{a} one two three"), (3, f"{b} one two three"), (4, f"{a}\n{b}\n{a}")], "doc_id long, text string")
+    lines = {r.doc_id: r.n_dup_lines for r in quality.assess(docs, labels).collect()}
+    assert lines == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, n=4).collect()} == {k: k for k in range(1, 5)}
+
+
+def test_block_hashes():
+    from quire.llm.words import block_hashes
+
+    r = np.random.default_rng(1)
+    data = r.integers(0, 3, 20_000).astype(np.uint8)
+    start = r.integers(0, 10_000, 4000)
+    end = start + r.integers(0, 40, 4000)
+    end[:5] = start[:5] + 5000  # long ranges go another way
+    seen = {}
+    for x, y, h in zip(start.tolist(), end.tolist(), block_hashes(data, start, end).tolist()):
+        assert seen.setdefault(data[x:y].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_families_of_templates(spark):
+    """Texts of many blocks, each in the one or the other form, in a chain of links: one component."""
+    r = random.Random(2)
+    blocks = [[" ".join(f"b{b}-{form}-{k}" for k in range(11)) for form in range(2)] for b in range(24)]
+    form, rows = [0] * 24, []
+    for k in range(300):
+        rows.append((k, " ".join(blocks[b][form[b]] for b in range(24))))
+        form[r.randrange(24)] ^= 1
+    _, want = groups(rows, 4, 80)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n=4).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+
+
+def test_posteriors_of_even_ids(spark):
+    """A labelled sample with even ids alone, and one with names for ids, still teaches the classifier."""
+    texts = ["fine words in a good row " * 5, "spam spam spam click here " * 5, "nasty toxic slur rude vile " * 5]
+    for name in (lambda k: 2 * k, lambda k: f"id-{k}"):
+        rows = [(name(k), texts[k % 3]) for k in range(120)]
+        kind = "long" if isinstance(rows[0][0], int) else "string"
+        marks = spark.createDataFrame([(name(k), int(k % 3 == 0), int(k % 3 == 2)) for k in range(120)], f"doc_id {kind}, quality int, toxic int")
+        got = mixing.posteriors(spark.createDataFrame(rows, f"doc_id {kind}, text string"), marks).collect()
+        right = sum(r.posterior.index(max(r.posterior)) == {0: 0, 1: 1, 2: 2}[texts.index(next(t for n, t in rows if n == r.given.doc_id))] for r in got)
+        assert right >= 115
+
+
+def test_totals_of_a_mix(spark):
+    members = spark.createDataFrame([(100, [1.0, 0.0, 0.0], 2.0), (50, [0.5, 0.5, 0.0], 1.0)], "n_tokens long, posterior array<double>, rate double")
+    assert {r.domain: (r.tokens, r.reached) for r in mixing.totals(members).collect()} == {"good": (125.0, 225.0), "poor": (25.0, 25.0), "toxic": (0.0, 0.0)}
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, two = ({r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs.repartition(n)).collect()} for n in (3, 7))
+    assert one == two
+
+
+def test_cut_edges(spark):
+    placed = spark.createDataFrame([(7, 0), (7, 0), (7, 1), (8, 3), (9, 2), (9, 2)], "text_crc32 long, shard int")
+    r = sharding.cut_edges(placed).first()
+    assert (r.edges, r.cut) == (4, 2)
+    # 40 links of six, dealt one to a shard at first, so that all edges are cut; then with documents that can give way, and without
+    texts = [(k, f"text {k // 6}") for k in range(240)]
+    for more, most in ((720, 30), (0, 599)):
+        docs = spark.createDataFrame(texts + [(1000 + k, f"alone {k}") for k in range(more)], "doc_id long, text string")
+        made = sharding.cut_edges(sharding.shard(docs)).first()
+        assert made.edges == 600 and made.cut <= most
+
+
+def test_hot_anchor_is_dealt_by_sides():
+    from quire.llm.words import U
+
+    e = np.zeros(2000, suffix.ENTRY)
+    e["left"], e["right"] = np.arange(2000) % 5 + 1, np.arange(2000) % 7 + 1
+    both = [np.ones(2000, bool), np.ones(2000, bool)]
+    at, keys = suffix._dealt_again(np.zeros(2000, U), e, both)
+    assert len(at) == 4000 and len(np.unique(keys)) == 12
+    at, keys = suffix._dealt_again(np.arange(2000).astype(U) // U(4), e, both)
+    assert len(at) == 2000 and (keys == np.arange(2000) // 4).all()
+
+
 # the pipeline
 
 
@@ -606,3 +697,19 @@ def test_pipeline_mix_moves(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Each stage stands null texts and ids, repeated rows and an empty table, and returns its columns."""
+    import corpus_pipeline
+
+    c = corpus_pipeline.COLUMNS
+    some = spark.read.parquet(f"{SF}/documents.parquet").limit(30).select(*c)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "no id " * 30, "en", "s", 1), (7000, "", "en", "s", 0)], some.schema)
+    rows = some.union(some.limit(2)).union(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, rows.where("doc_id = -1"), SF).count() == 0, name
+        made = stage(spark, rows.withColumn("row", F.lit("x")).withColumn("given", F.lit("y")), SF)
+        assert name == "pack_sequences" or made.columns == c, name
+        n = made.count()
+        assert n > 0 and (name != "personal_data" or n == rows.count()), name
