@@ -66,10 +66,19 @@ def grow(a: Column, m) -> Column:
     return box(a["x0"] - m, a["y0"] - m, a["x1"] + m, a["y1"] + m)
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def of_points(points: Column) -> Column:
     """The box of an array of structs x, y: floor of the least, ceiling of the most."""
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return box(F.floor(F.array_min(xs)), F.floor(F.array_min(ys)), F.ceil(F.array_max(xs)), F.ceil(F.array_max(ys)))
+
+    def around(ps: Column) -> Column:
+        xs, ys = F.transform(ps, lambda p: p["x"]), F.transform(ps, lambda p: p["y"])
+        return box(F.floor(F.array_min(xs)), F.floor(F.array_min(ys)), F.ceil(F.array_max(xs)), F.ceil(F.array_max(ys)))
+
+    return once(points, around)
 
 
 def project(h: list[list[float]], x: Column, y: Column) -> tuple[Column, Column]:
@@ -93,10 +102,15 @@ def fold_angle(a: Column) -> Column:
 
 def order_quad(points: Column) -> Column:
     """Four points by their angle around the centroid, from the one with the least x + y on."""
-    cx = F.aggregate(points, F.lit(0.0), lambda s, p: s + p["x"]) / F.size(points)
-    cy = F.aggregate(points, F.lit(0.0), lambda s, p: s + p["y"]) / F.size(points)
-    turned = F.array_sort(F.transform(points, lambda p: F.struct(F.atan2(p["y"] - cy, p["x"] - cx).alias("a"), p["x"].alias("x"), p["y"].alias("y"))))
-    plain = F.transform(turned, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    sums = F.transform(plain, lambda p: p["x"] + p["y"])
-    k = F.array_position(sums, F.array_min(sums)).cast("int")
-    return F.concat(F.slice(plain, k, F.size(plain)), F.slice(plain, F.lit(1), k - 1))
+    mean = lambda ps, c: F.aggregate(ps, F.lit(0.0), lambda s, p: s + p[c]) / F.size(ps)
+
+    def turned(ps: Column, m: Column) -> Column:
+        angles = F.array_sort(F.transform(ps, lambda p: F.struct(F.atan2(p["y"] - m["y"], p["x"] - m["x"]).alias("a"), p["x"].alias("x"), p["y"].alias("y"))))
+        return F.transform(angles, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+
+    def from_least(plain: Column) -> Column:
+        sums = F.transform(plain, lambda p: p["x"] + p["y"])
+        return once(F.array_position(sums, F.array_min(sums)).cast("int"), lambda k: F.concat(F.slice(plain, k, F.size(plain)), F.slice(plain, F.lit(1), k - 1)))
+
+    centre = lambda ps: F.struct(mean(ps, "x").alias("x"), mean(ps, "y").alias("y"))
+    return once(points, lambda ps: once(once(centre(ps), lambda m: turned(ps, m)), from_least))

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from quire.plans import detections, edits, extras, layout, lines, pages, pixels, rules, segments  # noqa: E402, F401
+from quire.plans import components, detections, edits, extras, layout, lines, pages, pixels, rules, segments  # noqa: E402, F401

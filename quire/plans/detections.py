@@ -144,7 +144,7 @@ def barcode_filter(spark, d):
     return t.join(c, "page_id").where(D.is_bar(F.lit(40), F.lit(24), F.col("transitions"), F.col("r"), (40, 20, 6, 0.2))).select("page_id", "transitions", F.round("r", 6).alias("r"))
 
 
-@query(LINES_SQL + BARS + """, g AS (SELECT doc_id, line_no, x0 + line_no % 7 * 20 AS gx0, y0 AS gy0, x0 + line_no % 7 * 20 + 30 + line_no % 5 * 12 AS gx1, y0 + 36 + line_no % 4 * 8 AS gy1, (line_no * 7 + doc_id) % 10 AS tenth FROM lines WHERE line_no % 5 = 0),
+@query(LINES_SQL + BARS + """, g AS (SELECT doc_id, line_no, x0 + line_no % 7 * 20 AS gx0, y0 AS gy0, x0 + line_no % 7 * 20 + 30 + line_no % 3 * 12 AS gx1, y0 + 36 + line_no % 4 * 8 AS gy1, (line_no * 7 + doc_id) % 10 AS tenth FROM lines WHERE line_no % 5 = 0),
 l AS (SELECT *, (gx1 - gx0) * (gy1 - gy0) AS whole FROM g WHERE (gx1 - gx0) >= 39.6::DOUBLE AND (gy1 - gy0) >= 39.6::DOUBLE AND tenth >= 3)
 SELECT doc_id, line_no FROM l WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.doc_id = l.doc_id AND greatest(least(gx1, bx1) - greatest(gx0, bx0), 0) * greatest(least(gy1, by1) - greatest(gy0, by0), 0) * 2 > whole)""")
 def graphic_filter(spark, d):
@@ -152,7 +152,7 @@ def graphic_filter(spark, d):
     w = words(spark, d)
     n = F.col("line_no")
     x, y = F.col("x0") + n % 7 * 20, F.col("y0")
-    box = G.box(x, y, x + 30 + n % 5 * 12, y + 36 + n % 4 * 8)
+    box = G.box(x, y, x + 30 + n % 3 * 12, y + 36 + n % 4 * 8)
     found = L.lines(w).where("line_no % 5 = 0").select("doc_id", "line_no", box.alias("a"), ((n * 7 + F.col("doc_id")) % 10 * G.area(box) / 10).alias("area"))
     return D.graphics(found, _bars(spark, d), _boxed(w, "b").select("doc_id", "b"), ["doc_id"], F.lit(18)).select("doc_id", "line_no")
 

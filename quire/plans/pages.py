@@ -100,11 +100,11 @@ def json_fields(spark, d):
     return table(spark, d, "events").where("props is not null").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT user_id FROM (SELECT DISTINCT user_id FROM events) u WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = 'purchase')")
+@query("SELECT user_id FROM (SELECT DISTINCT user_id FROM events) u WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = 'purchase' AND e.value > 100)")
 def projects_not_deleted(spark, d):
     """Tombstones as an anti-join."""
     e = table(spark, d, "events")
-    return e.select("user_id").distinct().join(e.where("event_type = 'purchase'").select("user_id").distinct(), "user_id", "left_anti")
+    return e.select("user_id").distinct().join(e.where("event_type = 'purchase' and value > 100").select("user_id").distinct(), "user_id", "left_anti")
 
 
 @query("SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
