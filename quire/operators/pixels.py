@@ -31,6 +31,17 @@ def noise(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     return pixels.withColumn("_d", F.abs(F.col(value) - m)).groupBy(*keys).agg((F.median("_d") * 1.4826).alias("sigma"))
 
 
+def faint(pixels: DataFrame, keys: list[str], value: str = "v", share: float = 0.9, below: int = 28, most: float = 235.0) -> DataFrame:
+    """Pixels darker than the paper, the percentile of all, by more than `below`, and than `most` (R2); nothing where there are none.
+
+    Counted by level, so one row for each key and level is all that is moved, and pixels meet no join.
+    """
+    h = pixels.groupBy(*keys, F.col(value).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    levels = h.groupBy(*keys).agg(F.percentile("level", share, F.col("n")).alias("_paper"), F.collect_list(F.struct("level", "n")).alias("_levels"))
+    dark = F.filter("_levels", lambda c: c["level"] < F.least(F.col("_paper") - below, F.lit(most)))
+    return levels.select(*keys, F.aggregate(dark, F.lit(0).cast("long"), lambda n, c: n + c["n"]).alias("faint")).where("faint > 0")
+
+
 def changed(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Pixels that differ."""
     b = after.withColumnRenamed("v", "v_after")

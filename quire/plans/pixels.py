@@ -109,9 +109,7 @@ def ruling_runs(spark, d):
 @query(RASTER + ", f AS (SELECT page_id, quantile_cont(v, 0.9) AS p90 FROM px GROUP BY page_id) SELECT page_id, count(*) AS faint FROM px JOIN f USING (page_id) WHERE v < least(p90 - 28, 235) GROUP BY page_id")
 def faint_mask(spark, d):
     """R2: pixels darker than the paper by 28."""
-    p = _raster(spark, d)
-    f = p.groupBy("page_id").agg(F.percentile("v", 0.9).alias("p90"))
-    return p.join(f, "page_id").where(F.col("v") < F.least(F.col("p90") - 28, F.lit(235.0))).groupBy("page_id").agg(F.count(F.lit(1)).alias("faint"))
+    return X.faint(_raster(spark, d), ["page_id"])
 
 
 @query(RASTER + " SELECT page_id, sum(v * x)::DOUBLE / sum(x * x) AS amplitude FROM px WHERE x > 0 GROUP BY page_id")

@@ -10,6 +10,8 @@ from quire.operators import detections as D
 from quire.operators import kernels, segments, spatial
 from quire.operators import lines as L
 from quire.operators import pages as P
+from quire.operators import pixels as X
+from quire.plans import catalog
 
 
 def test_transfer_spaces():
@@ -167,3 +169,20 @@ def test_types_at_whole_bytes(spark):
     heads = ["00255044462D", "A2550444" + "6B00", "25504446"]
     got = spark.createDataFrame([(k, h) for k, h in enumerate(heads)], "k int, h string").select("k", P.mime(F.col("h")).alias("m")).orderBy("k").collect()
     assert [r.m for r in got] == ["application/pdf", None, "application/pdf"]
+
+
+def test_faint_pixels_meet_no_join(spark):
+    """Spark takes a raster for as small as its page ids, so once it ran, a join of its pixels could broadcast all of them."""
+    plan = catalog.QUERIES["faint_mask"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    r = random.Random(5)
+    pages = {k: [r.choice([r.randint(0, 255), 240]) for _ in range(r.choice([1, 7, 64]))] for k in range(40)} | {40: [250] * 20}
+    px = spark.createDataFrame([(k, v) for k, vs in pages.items() for v in [*vs, None]], "page_id long, v long")
+    want = {}
+    for k, vs in pages.items():
+        at, s = (len(vs) - 1) * 0.9, sorted(vs)
+        lo, hi = s[int(at)], s[min(int(at) + 1, len(s) - 1)]
+        paper = lo + (hi - lo) * (at - int(at))
+        if n := sum(v < min(paper - 28, 235) for v in vs):
+            want[k] = n
+    assert {row.page_id: row.faint for row in X.faint(px, ["page_id"]).collect()} == want
