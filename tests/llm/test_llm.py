@@ -137,6 +137,44 @@ def test_encoder_equals_library():
             assert a.tolist() == b.ids
 
 
+def test_encoder_capitals_with_marks(monkeypatch):
+    """Only small letters have a form with these marks, so capitals must reach NFC as they are; blocks may end anywhere."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    library, r = Tokenizer.from_file(path), random.Random(9)
+    chars = [*"abJHTWY's.,&=<|/w> \n09éÉ×\x00\xa0ªΣ", "\u030c", "\u0331", "\u0308", "\u030a", "\u0338", "J\u030c", "\u1e96", "\u212a", "가", "ba" * 8, "<|ENDOFTEXT|>", "<|startoftext|>"]
+    texts = ["J\u030c", "xH\u0331 T\u0308a", *("".join(r.choice(chars) for _ in range(r.randint(0, 12))) for _ in range(2000))]
+    for memo, block in [(0, 16), (50, 7), (packing.MEMO, 1 << 20)]:
+        monkeypatch.setattr(packing, "BLOCK", block, raising=False)
+        own = packing.Encoder(path, memo=memo)
+        for k in range(0, len(texts), 200):
+            for a, b in zip(own.encode(texts[k : k + 200]), library.encode_batch(texts[k : k + 200], add_special_tokens=False)):
+                assert a.tolist() == b.ids
+
+
+def test_encoder_asks_for_letters_once():
+    """A word with marks or digits at its ends is met as its letters, so the library gets these once."""
+    own, asked = packing.Encoder(queries.vocabulary("word_bpe_49k.json")), []
+
+    class Library:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, text, **how):
+            asked.append(text)
+            return self.inner.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    own.library = Library(own.library)
+    for _ in range(2):
+        own.encode([f"{w}{m}" for w in ["word", "énorme", "Word", "(word)"] for m in ["", ".", "&&&", ".***", "7"]])
+    assert [" ".join(asked).count(w) for w in ["word", "énorme", "&&&", "7"]] == [1, 1, 2, 1]  # "&&&" also in ")&&&"
+
+
 def test_pack(spark, docs):
     path = queries.vocabulary("word_bpe_49k.json")
     made = packing.pack(docs, path, capacity=64)
